@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STAND_INS
 from ..session import table
-from . import splits, survivor, tokenize
+from . import neardup, splits, survivor, tokenize
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +38,19 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivor_records(table(spark, d, "org_nodes"))
 
 
+QUESTIONS = ["natural_question", "canonical_question"]
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of questions that agree in three quarters of the words of the longer one."""
+    return neardup.duplicate_pairs(table(spark, d, "qa_bank"), QUESTIONS)
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of near-duplicate questions."""
+    return neardup.duplicate_groups(table(spark, d, "qa_bank"), QUESTIONS)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenize.encode_corpus(table(spark, d, "documents"))
@@ -74,8 +87,16 @@ _P4 = f"""with recursive d as (select row_id, {_sql_key("plan_id")} as p, {_sql_
   r(row_id, grp) as (select row_id, row_id from d union select e.b, r.grp from r join e on e.a = r.row_id),
   m as (select row_id, min(grp) as group_row_id from r group by row_id)"""
 
-QUERIES = {"p4_found": p4_found, "p4_assign": p4_assign, "p4_balance": p4_balance, "p6_found": p6_found, "p6_records": p6_records, "p8_ids": p8_ids, "p8_stats": p8_stats}
+QUERIES = {"p4_found": p4_found, "p4_assign": p4_assign, "p4_balance": p4_balance, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_stats": p8_stats}
+_P7 = """with w as (select row_id, f, list_filter(list_transform(regexp_split_to_array(lower(t), '\\s+'), lambda x: regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')), lambda x: x <> '') as ws
+    from (select row_id, 'n' as f, natural_question as t from qa_bank union all select row_id, 'c', canonical_question from qa_bank)),
+  x as (select row_id, f, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) as p from w where len(ws) > 0),
+  o as (select *, row_number() over (partition by row_id, f, word order by p) as k from x)"""
+
 SQL = {
+    "p7_found": f"""{_P7}, s as (select a.row_id as row_id_a, b.row_id as row_id_b, count(*) as c, max(greatest(a.n, b.n)) as m
+        from o a join o b on a.f = b.f and a.word = b.word and a.k = b.k and a.row_id < b.row_id group by a.row_id, b.row_id, a.f)
+      select distinct row_id_a, row_id_b from s where c >= 0.75 * m""",
     "p4_found": f"{_P4} select row_id, group_row_id from m where group_row_id in (select group_row_id from m group by 1 having count(*) > 1)",
     "p6_found": f"{_P6} select g.group_row_id, b.field_name, b.row_id as best_row_id from b join g using (k) where rn = 1",
     "p6_records": f"{_P6} select g.group_row_id, g.n_rows, {', '.join(f'max(case when field_name = {chr(39)}{f}{chr(39)} then v end) as {f}' for f in survivor.FIELDS)} from g left join b on b.k = g.k and rn = 1 group by g.k, g.group_row_id, g.n_rows",
