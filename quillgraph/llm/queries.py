@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STAND_INS
 from ..session import table
-from . import leakage, neardup, splits, survivor, tokenize
+from . import leakage, mojibake, neardup, splits, survivor, tokenize
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +83,16 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).join(items, "item_id").groupBy("split", "source").agg(F.count_distinct("item_id").alias("n_items"), F.count_distinct("doc_id").alias("n_docs"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that show a wrong decoding."""
+    return mojibake.repair_corpus(table(spark, d, "documents")).where("garbled").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Affected documents with their text restored as far as it can be."""
+    return mojibake.repair_corpus(table(spark, d, "documents")).where("garbled").select("doc_id", "text")
+
+
 def _sql_key(c: str) -> str:
     return f"nullif(upper(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), '')"
 
@@ -103,7 +113,7 @@ _P4 = f"""with recursive d as (select row_id, {_sql_key("plan_id")} as p, {_sql_
   r(row_id, grp) as (select row_id, row_id from d union select e.b, r.grp from r join e on e.a = r.row_id),
   m as (select row_id, min(grp) as group_row_id from r group by row_id)"""
 
-QUERIES = {"p4_found": p4_found, "p4_assign": p4_assign, "p4_balance": p4_balance, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_stats": p8_stats, "p9_found": p9_found, "p9_spans": p9_spans, "p9_report": p9_report}
+QUERIES = {"p4_found": p4_found, "p4_assign": p4_assign, "p4_balance": p4_balance, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_stats": p8_stats, "p9_found": p9_found, "p9_spans": p9_spans, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
 _P7 = """with w as (select row_id, f, list_filter(list_transform(regexp_split_to_array(lower(t), '\\s+'), lambda x: regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')), lambda x: x <> '') as ws
     from (select row_id, 'n' as f, natural_question as t from qa_bank union all select row_id, 'c', canonical_question from qa_bank)),
   x as (select row_id, f, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) as p from w where len(ws) > 0),
