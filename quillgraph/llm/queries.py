@@ -7,7 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STAND_INS
 from ..session import table
-from . import leakage, mojibake, neardup, splits, survivor, tokenize
+from . import leakage, mojibake, neardup, overlap, splits, survivor, tokenize
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Training and held-out rows that ask the same."""
+    return overlap.overlaps(table(spark, d, "qa_rows")).select("row_id_a", "row_id_b").distinct()
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs and affected held-out rows per split, source and kind of overlap."""
+    rows = table(spark, d, "qa_rows").select("row_id", F.lower(F.trim("split")).alias("split"), "source")
+    held = rows.where(F.col("split").isin(*overlap.HELD_OUT))
+    ends = overlap.overlaps(table(spark, d, "qa_rows")).select("by", F.explode(F.array("row_id_a", "row_id_b")).alias("row_id"))
+    return ends.join(held, "row_id").groupBy("split", "source", "by").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("row_id").alias("n_rows"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +126,7 @@ _P4 = f"""with recursive d as (select row_id, {_sql_key("plan_id")} as p, {_sql_
   r(row_id, grp) as (select row_id, row_id from d union select e.b, r.grp from r join e on e.a = r.row_id),
   m as (select row_id, min(grp) as group_row_id from r group by row_id)"""
 
-QUERIES = {"p4_found": p4_found, "p4_assign": p4_assign, "p4_balance": p4_balance, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_stats": p8_stats, "p9_found": p9_found, "p9_spans": p9_spans, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_assign": p4_assign, "p4_balance": p4_balance, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_stats": p8_stats, "p9_found": p9_found, "p9_spans": p9_spans, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
 _P7 = """with w as (select row_id, f, list_filter(list_transform(regexp_split_to_array(lower(t), '\\s+'), lambda x: regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')), lambda x: x <> '') as ws
     from (select row_id, 'n' as f, natural_question as t from qa_bank union all select row_id, 'c', canonical_question from qa_bank)),
   x as (select row_id, f, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) as p from w where len(ws) > 0),
