@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STAND_INS
 from ..session import table
-from . import leakage, mojibake, names, neardup, overlap, splits, survivor, tokenize
+from . import leakage, linkage, mojibake, names, neardup, overlap, splits, survivor, tokenize
+
+
+def p2_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Matching observations and register rows with their confidence."""
+    return linkage.matches(table(spark, d, "party_obs"), table(spark, d, "canonical_orgs"), table(spark, d, "er_pairs"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Matching observations and register rows."""
+    return p2_scored(spark, d).select("obs_id", "org_no")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +149,7 @@ _P4 = f"""with recursive d as (select row_id, {_sql_key("plan_id")} as p, {_sql_
   r(row_id, grp) as (select row_id, row_id from d union select e.b, r.grp from r join e on e.a = r.row_id),
   m as (select row_id, min(grp) as group_row_id from r group by row_id)"""
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_assign": p4_assign, "p4_balance": p4_balance, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_stats": p8_stats, "p9_found": p9_found, "p9_spans": p9_spans, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p2_found": p2_found, "p2_scored": p2_scored, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_assign": p4_assign, "p4_balance": p4_balance, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_stats": p8_stats, "p9_found": p9_found, "p9_spans": p9_spans, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
 _P7 = """with w as (select row_id, f, list_filter(list_transform(regexp_split_to_array(lower(t), '\\s+'), lambda x: regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')), lambda x: x <> '') as ws
     from (select row_id, 'n' as f, natural_question as t from qa_bank union all select row_id, 'c', canonical_question from qa_bank)),
   x as (select row_id, f, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) as p from w where len(ws) > 0),
