@@ -105,7 +105,7 @@ def tf_idf_top(docs: DataFrame, queries: DataFrame, k: int = 5, key: str = "doc_
 
     Only terms that a query has are kept, so the posting lists that are joined follow the queries; weights come from all documents.
     """
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\w+"), F.lit(0))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[0-9a-z_]+"), F.lit(0))
     tf = docs.select(F.col(key).alias("doc_id"), F.explode(words(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.count()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -123,10 +123,11 @@ def lexical_top(labels: DataFrame, label: str, query: str, k: int = 5) -> DataFr
     """Labels nearest to a query: (twice the shared words plus one if one contains the other) over all words; ties: shorter, then smaller."""
     words = sorted(set(re.findall(r"\w+", query.lower())))
     q = F.array(*[F.lit(x) for x in words]).cast("array<string>")
+    name, label = label, "label"
     own = F.array_distinct(F.regexp_extract_all(F.lower(label), F.lit(r"\w+"), F.lit(0)))
     inside = F.contains(F.lower(label), F.lit(query.lower())) | F.contains(F.lit(query.lower()), F.lower(label))
     score = (2 * F.size(F.array_intersect(own, q)) + F.when(inside, 1).otherwise(0)) / F.size(F.array_union(own, q))
-    return labels.select(F.col(label).alias("label")).distinct().withColumn("score", F.round(score, 6)).where("score > 0").orderBy(F.desc("score"), F.length("label"), "label").limit(k)
+    return labels.select(F.col(name).alias("label")).distinct().withColumn("score", F.round(score, 6)).where("score > 0").orderBy(F.desc("score"), F.length("label"), "label").limit(k)
 
 
 def url_manifest(docs: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def evidence_edges(contracts: DataFrame, awards: DataFrame, evidence: DataFrame)
 
 def role_summary(edges: DataFrame, contracts: DataFrame, role: str) -> DataFrame:
     """Per organisation in a role: contracts, additive value and years."""
-    c = contracts.select("contract_node_id", "release_year", F.when("value_is_additive", F.col("value_amount")).alias("v"))
+    c = contracts.select("contract_node_id", "release_year", F.when(F.col("value_is_additive"), F.col("value_amount")).alias("v"))
     d = edges.select("canonical_id", "contract_node_id").distinct().join(c, "contract_node_id")
     return d.groupBy("canonical_id").agg(
         F.count(F.lit(1)).alias(f"{role}_contract_count"), F.coalesce(F.sum(F.col("v").cast("decimal(38,6)")).cast("double"), F.lit(0.0)).alias(f"{role}_additive_value_sum"),
@@ -86,7 +86,7 @@ def enrich_orgs(orgs: DataFrame, buyers: DataFrame, suppliers: DataFrame, contra
 
 def enrich_codes(codes: DataFrame, edges: DataFrame, contracts: DataFrame) -> DataFrame:
     """Product codes with contracts, additive value and years."""
-    c = contracts.select("contract_node_id", "release_year", F.when("value_is_additive", F.col("value_amount")).alias("v"))
+    c = contracts.select("contract_node_id", "release_year", F.when(F.col("value_is_additive"), F.col("value_amount")).alias("v"))
     g = edges.join(c, "contract_node_id").groupBy("cpv_code").agg(
         F.count_distinct("contract_node_id").alias("contract_count"), F.coalesce(F.sum(F.col("v").cast("decimal(38,6)")).cast("double"), F.lit(0.0)).alias("additive_value_sum"), F.min("release_year").alias("first_year"), F.max("release_year").alias("last_year")
     )

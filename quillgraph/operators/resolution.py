@@ -138,7 +138,7 @@ def risk_tier(flags: Column, score: Column, region: Column, same_name: Column, a
 
 def name_region_merge(orgs: DataFrame, key: str = "canonical_id", name: str = "canonical_name", region: str = "address_region") -> DataFrame:
     """`canonical_id, merged_id, n`: rows of one normalised name and region share an id made of both; blank names stay single."""
-    d = orgs.select(F.col(key).alias("canonical_id"), S.norm_name(F.col(name)).alias("norm"), F.coalesce(F.upper(F.trim(F.col(region))), F.lit("")).alias("region"))
+    d = orgs.select(F.col(key).cast("string").alias("canonical_id"), S.norm_name(F.col(name)).alias("norm"), F.coalesce(F.upper(F.trim(F.col(region))), F.lit("")).alias("region"))
     n = d.where("norm <> ''").groupBy("norm", "region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     d = d.join(n, ["norm", "region"], "left")
     merged = F.when(F.col("n").isNotNull(), F.concat(F.lit("NR-"), S.stable_hash(12, F.col("norm"), F.col("region")))).otherwise(F.col("canonical_id"))
