@@ -40,7 +40,7 @@ def positional_bytes(ws: list[str]) -> list[int]:
     out = []
     for w in ws:
         k = seen[w] = seen.get(w, 0) + 1
-        out.append(_signed(xxhash.xxh3_64_intdigest(w, k)))
+        out.append(_signed(xxhash.xxh3_64_intdigest(f"{k} {w}")))
     return sorted(out)
 
 
