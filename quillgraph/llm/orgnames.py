@@ -40,6 +40,8 @@ for _g, _a in GIVEN.items():
     for _w in [_g, *_a.split()]:
         _NICK.setdefault(_w, _g)
 _LONG = {w: k for w, k in _KIND.items() if len(w) >= 5} | {"limited": "limited"}
+#: Letters from which one word may be two run together.
+JOINED = 12
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Ý])|(?<=[a-zà-ÿ]0)(?=[A-ZÀ-Ý])|(?<=[A-Za-zÀ-ÿ]{3}\.)(?=[A-Za-zÀ-Ý]{3})")
 _DOTTED = re.compile(r"\b(?:[a-z]\.){2,}[a-z]?\b\.?|\b[a-z](?: [a-z])+\b")
 _ASIDES = re.compile(r"\b(?:" + "|".join(ASIDE) + r")\b")
@@ -72,7 +74,7 @@ def kind_like(w: str) -> str | None:
     """The kind word of which `w` is a misspelling."""
     if len(w) < 4:
         return None
-    d, k = min(((distance(w, k, 3), k) for k in _LONG if abs(len(k) - len(w)) < 4), default=(9, ""))
+    d, _, k = min(((distance(w, k, 3), _LONG[k] != k, k) for k in _LONG if abs(len(k) - len(w)) < 4), default=(9, True, ""))
     return _LONG[k] if d <= (3 if len(k) > 8 else 2 if len(k) > 5 else 1) else None
 
 
@@ -121,9 +123,9 @@ def parse(text: str | None) -> Name:
             given.append(_NICK.get(w, w))
         else:
             core.append((w, raw.endswith(".")))
-    # Beyond the two own words, the word most like a kind word is one.
-    while len(core) > 2:
-        like = [(distance(w, k, 6), i, k) for i, (w, _) in enumerate(core) if (k := kind_like(w))]
+    # Beyond the two own words (which may stand as one), the word most like a kind word is one.
+    while len(core) > 2 or (len(core) == 2 and max(len(w) for w, _ in core) >= JOINED):
+        like = [(distance(w, k, 6), i, k) for i, (w, _) in enumerate(core) if len(w) < JOINED + 4 and (k := kind_like(w))]
         if not like:
             break
         _, i, k = min(like)
