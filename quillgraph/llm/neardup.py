@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import cut
+from ..session import cut, spread
 
 SHARE = 0.75
 #: Slots of the frequency table by which items are ordered: one int each, whatever the corpus.
@@ -127,7 +127,7 @@ def near_duplicates(df: DataFrame, text: str, row: str = "row_id", hot: int = HO
     nothing is capped. Order comes from a table of SLOTS counts over all classes. Blank and null texts, and texts without letters or
     digits, are in no class. Texts of one or two words: the index keys are single items or the one pair.
     """
-    rows = cut(df.select(F.col(row).cast("long").alias("row_id"), F.col(text).alias("text")).where("row_id is not null and text is not null").mapInArrow(_items, "row_id long, items array<long>"))
+    rows = cut(spread(df.select(F.col(row).cast("long").alias("row_id"), F.col(text).alias("text")).where("row_id is not null and text is not null")).mapInArrow(_items, "row_id long, items array<long>"))
     same = F.unhex(F.md5(F.concat_ws(",", F.transform("items", lambda x: x.cast("string")))))
     rows = rows.withColumn("same", same)
     classes = cut(rows.groupBy("same").agg(F.min(F.struct("row_id", "items")).alias("r")).select("same", F.col("r.row_id").alias("class_id"), F.col("r.items").alias("items")))
@@ -137,7 +137,7 @@ def near_duplicates(df: DataFrame, text: str, row: str = "row_id", hot: int = HO
     slots = classes.select(F.explode("items").alias("i")).groupBy(F.col("i").bitwiseAND(F.lit(SLOTS - 1)).alias("s")).count()
     for s, n in slots.collect():  # at most SLOTS rows
         freq[s] = n
-    prefixes = cut(classes.select("class_id", "items").mapInArrow(_prefixes(freq), "class_id long, prefix array<long>"))
+    prefixes = cut(spread(classes.select("class_id", "items")).mapInArrow(_prefixes(freq), "class_id long, prefix array<long>"))
     keys = cut(prefixes.mapInArrow(_keys, "k long, class_id long"))
     sizes = keys.groupBy("k").count().where("count > 1")
     cold = keys.join(sizes.where(F.col("count") <= hot).select("k"), "k", "left_semi")

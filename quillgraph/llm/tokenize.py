@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 VOCABULARY = os.environ.get("QUILLGRAPH_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: how the vocabulary's training split text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -174,7 +176,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
                 flat = np.fromiter((x for y in ids for x in y), dtype=np.int32, count=int(offsets[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[key, "ids"])
 
-    return df.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(key, F.col(text).cast("string").alias("text"))).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def decode_corpus(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
