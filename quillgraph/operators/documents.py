@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
+from ..session import spread
 
 # Headings at which a clause begins.
 HEADINGS = [
@@ -79,7 +80,7 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
                 names = [x.split()[0] for x in CHUNK.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=names)
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, CHUNK)
+    return spread(docs.select(F.col(key).cast("long"), text)).mapInArrow(run, CHUNK)
 
 
 def term_set(*cols: Column) -> Column:

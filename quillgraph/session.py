@@ -26,3 +26,14 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """`df` with its lineage cut by a reliable checkpoint: written to the shared folder, so a lost executor loses nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def tasks(spark: SparkSession) -> int:
+    """Tasks over which Python-heavy work is dealt out: the shuffle partitions of the session, at least one for each core."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan or checkpoint of fewer partitions than there are cores, dealt out evenly; anything larger as it is, without a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
