@@ -21,6 +21,8 @@ SLOTS = 1 << 18
 HOT = 400
 #: Items that two similar records are bound to share in their prefixes.
 SHARED = 3
+#: Classes up to which an item is an index key by itself.
+RARE = 4
 
 
 def words(text: str) -> list[str]:
@@ -65,17 +67,22 @@ def _slot(x: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(freq: np.ndarray):
-    """class_id, items → class_id, the rarest items of which similar records share SHARED (or all that they are bound to share)."""
+    """class_id, items → class_id and the rarest items of which similar classes share SHARED, those of at most RARE classes apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for x in b.column(1).to_pylist():
+            ids, rare, often = [], [], []
+            for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if len(x) < SHARED:  # only the same words are similar
+                    continue
                 a = np.array(x, dtype=np.int64)
-                t = needed(len(a))
-                keep = len(a) - t + min(SHARED, t)
-                out.append(a[np.lexsort((a, freq[_slot(a)]))[:keep]].tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["class_id", "prefix"])
+                n = freq[_slot(a)]
+                order = np.lexsort((a, n))[: len(a) - needed(len(a)) + SHARED]
+                ids.append(c)
+                rare.append(a[order][(n[order] > 1) & (n[order] <= RARE)].tolist())
+                often.append(a[order][n[order] > RARE].tolist())
+            long = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rare, long), pa.array(often, long)], names=["class_id", "rare", "prefix"])
 
     return run
 
@@ -89,15 +96,17 @@ def _pair_key(p: int, q: int) -> int:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index keys and what sharing one proves: a rare item by itself, a pair of frequent ones one of the pairs that SHARED items make."""
     for b in batches:
         for i in range(0, b.num_rows, 1000):
             part = b.slice(i, 1000)
-            ids, keys = [], []
-            for c, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                mine = x if len(x) == 1 else [_pair_key(p, q) for p, q in combinations(x, 2)]
-                keys.extend(mine)
-                ids.extend([c] * len(mine))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], names=["k", "class_id"])
+            ids, keys, proof = [], [], []
+            for c, rare, often in zip(*(part.column(j).to_pylist() for j in range(3))):
+                pairs = [_pair_key(p, q) for p, q in combinations(often, 2)] if len(often) >= SHARED else []
+                keys += rare + pairs
+                proof += [SHARED] * len(rare) + [1] * len(pairs)
+                ids += [c] * (len(rare) + len(pairs))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(proof, pa.int32())], names=["k", "class_id", "proof"])
 
 
 def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +121,8 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(keys: DataFrame) -> DataFrame:
-    a, b = keys.select("k", F.col("class_id").alias("a")), keys.select("k", F.col("class_id").alias("b"))
-    return a.join(b, "k").where("a < b").select("a", "b")
+    a, b = keys.select("k", F.col("class_id").alias("a"), "proof"), keys.select("k", F.col("class_id").alias("b"))
+    return a.join(b, "k").where("a < b").select("a", "b", "proof")
 
 
 def near_duplicates(df: DataFrame, text: str, row: str = "row_id", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -121,11 +130,12 @@ def near_duplicates(df: DataFrame, text: str, row: str = "row_id", hot: int = HO
 
     Words count in any order, with repetitions, ignoring case and punctuation. Rows with the same words are one class (named by its
     smallest row) and are not paired with each other; links join classes. Each word and repetition is a positional byte. With items in
-    one global order from rare to frequent, two similar classes share at least SHARED items among their rarest (n - needed(n) + SHARED),
-    so pairs of such items are the index keys, and a pair of classes must meet in SHARED over 2 keys; the pairs that do are verified on
-    all their items. A key with more than `hot` classes is replaced by keys with a third item, of which similar classes share one too;
+    one global order from rare to frequent, two similar classes share at least SHARED items among their rarest (n - needed(n) + SHARED).
+    An item that at most RARE classes have is an index key by itself (one of a single class is none); if all shared items are more
+    frequent, their pairs are, and a pair of classes must meet in the SHARED over 2 keys these make. Pairs of classes that do are verified
+    on all their items. A key with more than `hot` classes is replaced by keys with a third item, of which similar classes share one too;
     nothing is capped. Order comes from a table of SLOTS counts over all classes. Blank and null texts, and texts without letters or
-    digits, are in no class. Texts of one or two words: the index keys are single items or the one pair.
+    digits, are in no class; texts of one or two words are similar to the same words only.
     """
     rows = cut(spread(df.select(F.col(row).cast("long").alias("row_id"), F.col(text).alias("text")).where("row_id is not null and text is not null")).mapInArrow(_items, "row_id long, items array<long>"))
     same = F.unhex(F.md5(F.concat_ws(",", F.transform("items", lambda x: x.cast("string")))))
@@ -137,22 +147,20 @@ def near_duplicates(df: DataFrame, text: str, row: str = "row_id", hot: int = HO
     slots = classes.select(F.explode("items").alias("i")).groupBy(F.col("i").bitwiseAND(F.lit(SLOTS - 1)).alias("s")).count()
     for s, n in slots.collect():  # at most SLOTS rows
         freq[s] = n
-    prefixes = cut(spread(classes.select("class_id", "items")).mapInArrow(_prefixes(freq), "class_id long, prefix array<long>"))
-    keys = cut(prefixes.mapInArrow(_keys, "k long, class_id long"))
+    prefixes = cut(spread(classes.select("class_id", "items")).mapInArrow(_prefixes(freq), "class_id long, rare array<long>, prefix array<long>"))
+    keys = cut(prefixes.mapInArrow(_keys, "k long, class_id long, proof int"))
     sizes = keys.groupBy("k").count().where("count > 1")
     cold = keys.join(sizes.where(F.col("count") <= hot).select("k"), "k", "left_semi")
     warm = keys.join(sizes.where(F.col("count") > hot).select("k"), "k", "left_semi").join(prefixes, "class_id").select("k", "class_id", "prefix").mapInArrow(_refined, "k long, class_id long")
-    # Two classes that share s items share s(s-1)/2 keys; a refined key stands for one of them, so it is proof enough by itself.
-    tally = _pairs(cold).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).unionByName(_pairs(warm).distinct().withColumn("n", F.lit(SHARED).cast("long")))
-    found = tally.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # A refined key stands for three shared items, so it is proof enough by itself.
+    tally = _pairs(cold).unionByName(_pairs(warm.withColumn("proof", F.lit(SHARED)))).groupBy("a", "b").agg(F.sum("proof").alias("proof"))
+    found = tally.where(F.col("proof") >= SHARED * (SHARED - 1) // 2)
     ia = classes.select(F.col("class_id").alias("a"), F.col("items").alias("ia"))
     ib = classes.select(F.col("class_id").alias("b"), F.col("items").alias("ib"))
     longer = F.greatest(F.size("ia"), F.size("ib"))
-    few = F.least(F.size("ia"), F.size("ib"))
     shared = F.size(F.array_intersect("ia", "ib"))
-    least = F.when(few * SHARE > SHARED - 1, F.lit(SHARED * (SHARED - 1) // 2)).otherwise(F.lit(1))
     links = (
-        found.join(ia, "a").join(ib, "b").where(F.col("n") >= least)
+        found.join(ia, "a").join(ib, "b")
         .select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), shared.alias("shared"), longer.alias("words"))
         .where(F.col("shared") >= F.lit(SHARE) * F.col("words"))
     )
