@@ -14,7 +14,10 @@ from pyspark.sql import types as T
 SCHEMES = {"GB-COH": 1, "GB-NHS": 2, "GB-UKPRN": 3, "GB-CHC": 4, "GB-SC": 5, "GB-NIC": 6, "GB-MPR": 7, "GB-FTS": 99}
 OFFICIAL = [s for s, p in SCHEMES.items() if p < 50]
 LEGAL_FORMS = ["LIMITED LIABILITY PARTNERSHIP", "COMMUNITY INTEREST COMPANY", "INCORPORATED", "LIMITED", "LIMITE", "LLP", "CIC", "PLC", "LTD", "INC", "CO"]
-STOP_TOKENS = ["THE", "AND", "OF", "FOR", "LIMITED", "LTD", "PLC", "LLP", "CIC", "CO", "UK"]
+STOP_TOKENS = [
+    "AND", "THE", "FOR", "WITH", "LIMITED", "LTD", "PLC", "LLP", "INC", "COMPANY", "GROUP", "SERVICES", "SERVICE", "TRUST", "COUNCIL", "AUTHORITY", "UNIVERSITY", "COLLEGE", "SCHOOL",
+    "NATIONAL", "INTERNATIONAL",
+]
 
 
 @F.pandas_udf(T.StringType())
