@@ -14,16 +14,14 @@ from ..operators import relational as R
 from ..operators import resolution as E
 from ..session import table
 from .catalogue import UNIVERSE_SQL
-from .universe import star_universe
+from .universe import line_summary, star_universe
 
 # --- graph tables -----------------------------------------------------------------------------------------------------------------------
 
 
 def party_summary(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers of each contract: sorted names, the first of them, and their number."""
-    from .universe import supplier_summary
-
-    s = supplier_summary(spark, d)
+    s = line_summary(spark, d, parts=False, regions=False)
     return s.select("order_key", F.array_join("supplier_names", "|").alias("names"), F.coalesce(F.get("supplier_names", F.lit(0)), F.lit("")).alias("first_name"), "supplier_count")
 
 

@@ -56,11 +56,6 @@ def contract_nodes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def supplier_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct (contract, supplier) edges."""
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_suppkey").alias("supp_key")).distinct()
-
-
 def places(spark: SparkSession, d: str) -> DataFrame:
     """`nation_key, place`: nation and region names."""
     n, r = table(spark, d, "nation"), table(spark, d, "region")
@@ -73,22 +68,24 @@ def sorted_set(c: str | Column) -> Column:
     return F.array_sort(F.collect_set(F.when(c != "", c)))
 
 
-def supplier_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Per contract: sorted supplier names and places and their number."""
-    s = table(spark, d, "supplier").join(places(spark, d), F.col("s_nationkey") == F.col("nation_key"), "left").select(F.col("s_suppkey").alias("supp_key"), "s_name", "place")
-    return supplier_edges(spark, d).join(s, "supp_key", "left").groupBy("order_key").agg(
-        sorted_set("s_name").alias("supplier_names"), sorted_set("place").alias("supplier_regions"), F.count_distinct("supp_key").cast("int").alias("supplier_count")
-    )
-
-
-def line_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Per contract: signing and period dates, product code and number of lines."""
-    line = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand", "p_name"), F.col("l_partkey") == F.col("p_partkey"), "left")
-    day = F.date_format("l_shipdate", "yyyy-MM-dd")
-    return line.groupBy(F.col("l_orderkey").alias("order_key")).agg(
-        F.min("p_brand").alias("tender_cpv_id"), F.min("p_name").alias("tender_title"), F.min(day).alias("award_date_signed"), F.max(day).alias("contract_period_end"),
-        F.min("l_shipdate").alias("__s"), F.max("l_shipdate").alias("__e"), F.count(F.lit(1)).cast("int").alias("evidence_count"),
-    )
+def line_summary(spark: SparkSession, d: str, suppliers: bool = True, parts: bool = True, regions: bool = True) -> DataFrame:
+    """Per contract, by one aggregation of its lines: sorted supplier names and places and their number; signing and period dates, product
+    code and number of lines. What is not wanted is not read."""
+    line = table(spark, d, "lineitem")
+    aggs = []
+    if suppliers:
+        s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_nationkey")
+        s = s.join(places(spark, d), F.col("s_nationkey") == F.col("nation_key"), "left") if regions else s.withColumn("place", F.lit(None).cast("string"))
+        line = line.join(s.select("l_suppkey", "s_name", "place"), "l_suppkey", "left")
+        aggs += [sorted_set("s_name").alias("supplier_names"), sorted_set("place").alias("supplier_regions"), F.size(F.collect_set("l_suppkey")).alias("supplier_count")]
+    if parts:
+        line = line.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_name"), "l_partkey", "left")
+        day = F.date_format("l_shipdate", "yyyy-MM-dd")
+        aggs += [
+            F.min("p_brand").alias("tender_cpv_id"), F.min("p_name").alias("tender_title"), F.min(day).alias("award_date_signed"), F.max(day).alias("contract_period_end"),
+            F.min("l_shipdate").alias("__s"), F.max("l_shipdate").alias("__e"), F.count(F.lit(1)).cast("int").alias("evidence_count"),
+        ]
+    return line.groupBy(F.col("l_orderkey").alias("order_key")).agg(*aggs)
 
 
 def days_between(start: Column, end: Column) -> Column:
@@ -119,15 +116,16 @@ def star_universe(spark: SparkSession, d: str, names: frozenset[str] | None = No
             buyer = buyer.withColumn("place", F.lit(None).cast("string"))
         df = df.join(buyer.select(F.col("c_custkey").alias("cust_key"), F.col("c_name").alias("buyer_name"), F.col("place").alias("buyer_region")), "cust_key", "left")
         out |= {"buyer_name": blank("buyer_name"), "buyer_regions": F.array_compact(F.array("buyer_region")), "buyer_count": F.when(F.col("buyer_name").isNull(), 0).otherwise(1)}
-    if wanted(FROM_SUPPLIERS):
-        df = df.join(supplier_summary(spark, d), "order_key", "left")
+    with_suppliers, with_parts = wanted(FROM_SUPPLIERS), wanted(FROM_LINES)
+    if with_suppliers or with_parts:
+        df = df.join(line_summary(spark, d, with_suppliers, with_parts, wanted({"supplier_regions"})), "order_key", "left")
+    if with_suppliers:
         listed = F.coalesce("supplier_names", none)
         out |= {
             "supplier_names": listed, "supplier_name": F.when(F.size(listed) > 0, listed[0]).otherwise(""), "supplier_regions": F.coalesce("supplier_regions", none),
             "supplier_count": F.coalesce("supplier_count", F.lit(0)),
         }
-    if wanted(FROM_LINES):
-        df = df.join(line_summary(spark, d), "order_key", "left")
+    if with_parts:
         out |= {
             "tender_cpv_id": blank("tender_cpv_id"), "tender_title": blank("tender_title"), "award_date_signed": blank("award_date_signed"), "has_award_signed_date": blank("award_date_signed") != "",
             "contract_period_end": blank("contract_period_end"), "contract_duration_days": days_between(F.col("__s"), F.col("__e")), "evidence_count": F.coalesce("evidence_count", F.lit(0)),
