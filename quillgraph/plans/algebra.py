@@ -184,6 +184,7 @@ class Plan:
             raise DataError(f"unknown_field:{name}")
 
     def leaf(self, p: dict) -> Column:
+        """A predicate as it is, null where it cannot be told; a filter may take it so, and a scan can then test it."""
         name, op, value = p["field"], p["op"], p.get("value")
         self._has(name)
         c = F.col(name)
@@ -193,22 +194,22 @@ class Plan:
             except (TypeError, ValueError):
                 return F.lit(False)
             x = as_number(self.u, name) if not self.u.is_array(name) else F.lit(None).cast("double")
-            return known(x >= bound if op == "gte" else x <= bound)
+            return x >= bound if op == "gte" else x <= bound
         if self.u.is_array(name):
             if op == "eq":
-                return known(F.array_contains(c, F.lit(str(value))))
+                return F.array_contains(c, F.lit(str(value)))
             if op == "in":
-                return known(F.arrays_overlap(c, F.array(*[F.lit(str(v)) for v in value]))) if value else F.lit(False)
+                return F.arrays_overlap(c, F.array(*[F.lit(str(v)) for v in value])) if value else F.lit(False)
             if op == "contains":
-                return known(F.exists(c, lambda x: F.contains(F.lower(x), F.lit(str(value).lower()))))
-            return known(F.exists(c, lambda x: F.trim(x) != ""))
+                return F.exists(c, lambda x: F.contains(F.lower(x), F.lit(str(value).lower())))
+            return F.exists(c, lambda x: F.trim(x) != "")
         if op == "eq":
-            return known(self._equal(c, name, value))
+            return self._equal(c, name, value)
         if op == "in":
-            return known(text_of(self.u, name).isin([self._literal(v) for v in value])) if value else F.lit(False)
+            return text_of(self.u, name).isin([self._literal(v) for v in value]) if value else F.lit(False)
         if op == "contains":
-            return known(F.contains(F.lower(text_of(self.u, name)), F.lit(str(value).lower())))
-        return known(c.isNotNull() & (F.trim(text_of(self.u, name)) != ""))
+            return F.contains(F.lower(text_of(self.u, name)), F.lit(str(value).lower()))
+        return c.isNotNull() & (F.trim(text_of(self.u, name)) != "")
 
     @staticmethod
     def _literal(v: Any) -> str:
@@ -226,7 +227,7 @@ class Plan:
         """`df` restricted by all predicates. A membership in a computed set is a semi- or anti-join; one inside `not` or `any` becomes a flag."""
         plain = [p for p in preds if not self._joins(p)]
         if plain:
-            df = df.where(reduce(lambda a, b: a & b, (self.mask(df, p)[1] for p in plain)))
+            df = df.where(reduce(lambda a, b: a & b, map(self.test, plain)))
         for p in preds:
             if p["op"] == "in_expr":
                 df = self._member(df, p)
@@ -270,7 +271,15 @@ class Plan:
                 df = df.join(inner.withColumn(flag, F.lit(True)), text_of(self.u, p["field"]) == F.col(f"{flag}v"), "left")
             m = known(F.col(flag))
             return df, ~m if p.get("negate") else m
-        return df, self.leaf(p)
+        return df, known(self.leaf(p))
+
+    def test(self, p: dict) -> Column:
+        """A predicate without joins where only true matters: null is kept outside negations, so that scans can test it."""
+        if p["op"] == "not":
+            return ~self.mask(self.u.df, p["pred"])[1]
+        if p["op"] == "any":
+            return reduce(lambda a, b: a | b, map(self.test, p["preds"]))
+        return self.leaf(p)
 
     # --- records ----------------------------------------------------------------------------------------------------------------------
     def records(self, t: dict) -> DataFrame:

@@ -40,19 +40,14 @@ class Universe:
         return isinstance(self.df.schema[name].dataType, T.NumericType)
 
 
-def additive(source: Column) -> Column:
-    """Whether a value of this source may be summed: award and contract values may, tender estimates may not."""
-    return source.isin("award", "contract")
-
-
 def contract_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Contract records of the star schema."""
+    """Contract records of the star schema. Values of awards and contracts may be summed, estimates of tenders may not."""
     o = table(spark, d, "orders")
     source = F.when(F.col("o_orderstatus") == "F", "award").when(F.col("o_orderstatus") == "P", "contract").otherwise("tender")
     return o.select(
         F.concat(F.lit("contract:"), F.col("o_orderkey")).alias("contract_node_id"), F.concat(F.lit("ocds-"), F.col("o_orderkey")).alias("ocid"), F.col("o_orderkey").alias("order_key"),
         F.col("o_custkey").alias("cust_key"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("release_date"), F.year("o_orderdate").alias("release_year"), F.col("o_orderpriority").alias("tender_category"),
-        F.col("o_totalprice").cast("double").alias("value_amount"), source.alias("value_source"), additive(source).alias("value_is_additive"),
+        F.col("o_totalprice").cast("double").alias("value_amount"), source.alias("value_source"), F.col("o_orderstatus").isin("F", "P").alias("value_is_additive"),
     )
 
 
