@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 
 from quillgraph.llm import splits, survivor, tokenize
+from quillgraph.operators import skew
 
 QA = "row_id long, plan_id string, dedup_group string, stratum string, template_family string, node string, component long, k string"
 
@@ -39,8 +40,9 @@ def random_rows(seed, n=400):
     return [(i, rng.choice([None, f"plan-{rng.randrange(n)}"]), group(), rng.choice(["s1", "s2", None]), rng.choice(["f1", "f2"])) for i in range(n)]
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_groups(spark, seed):
+@pytest.mark.parametrize("seed, least", [(0, 50_000), (1, 50)])
+def test_groups(spark, monkeypatch, seed, least):
+    monkeypatch.setattr(skew.heavy_keys, "__defaults__", (1 / 64, least))  # at 50 the hot group is salted
     rows = random_rows(seed)
     got = {r.row_id: r.group_row_id for r in splits.bound_rows(qa(spark, rows)).collect()}
     assert got == slow_groups(rows)
