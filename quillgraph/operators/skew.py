@@ -30,7 +30,7 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     salt = F.when(F.col(key).isin(*hot), F.pmod(F.xxhash64(*others), F.lit(salts))).otherwise(F.lit(0))
     spread = F.when(F.col(key).isin(*hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     a = left.withColumn("__salt", salt.cast("int"))
-    b = right.withColumn("__salt", F.explode(spread).cast("int"))
+    b = right.withColumn("__salt", F.explode(spread))
     return a.join(b, [key, "__salt"], how).drop("__salt")
 
 
