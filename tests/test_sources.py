@@ -141,3 +141,20 @@ def test_streams(spark, tmp_path):
     w = latest.windowed_counts(stream(), "ts", ["user"]).writeStream.format("memory").queryName("win").outputMode("complete").option("checkpointLocation", str(tmp_path / "c3"))
     latest.run_once(w, spark)
     assert spark.table("win").where("user = 'a'").agg(F.sum("n")).first()[0] == 4
+
+
+def test_caches_and_settings(spark, tmp_path):
+    from quillgraph.config import Settings
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    files.write_cache(df, str(tmp_path / "cache"))
+    assert sorted(map(tuple, files.read_cache(spark, str(tmp_path / "cache"), "k int, v string").collect())) == [(1, "a"), (2, None)]
+    df.limit(1).write.mode("append").json(str(tmp_path / "cache" / "rows"))
+    with pytest.raises(files.Refused):
+        files.read_cache(spark, str(tmp_path / "cache"), "k int, v string")
+    p = tmp_path / "s.yaml"
+    p.write_text("# run\nraw_folder: here  # there\nyears: [2024, 2025]\nsimilarity: 0.9\npartial: true\n")
+    assert Settings.read(str(p)) == Settings(raw_folder="here", years=(2024, 2025), similarity=0.9, partial=True)
+    p.write_text("nope: 1\n")
+    with pytest.raises(ValueError):
+        Settings.read(str(p))
