@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ RUN, AGREE = 20, 0.85
 ENDS = 3
 #: Words outside common phrases that a passage must share.
 OWN = 12
-#: A phrase is common if it occurs more often than this and in more than this share of the documents.
+#: A phrase is common if more different texts than this, and more than this share of them, have it.
 COMMON, COMMON_SHARE = 50, 0.005
 #: Words of one index.
 SHARD = 200_000
@@ -137,35 +138,41 @@ class Phrases:
 
 
 class Shard:
-    """Documents of one task as a sequence of the items' words, broken where another word stands."""
+    """Different texts of one task as a sequence of the items' words, broken where another word stands, and the documents that have each."""
 
     def __init__(self, phrases: Phrases) -> None:
         self.p, self.docs, self.seq, self.where, self.size = phrases, [], [], [], 0
+        self.seen: dict[bytes, list[int]] = {}
 
     def add(self, doc: int, text: str | None) -> None:
         if not text:
             return
+        key = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+        if key in self.seen:
+            self.seen[key].append(doc)
+            return
         ws, get = words(text), self.p.ids.get
         x = np.fromiter((get(w, 0) for w in ws), dtype=np.int64, count=len(ws))
         known = np.flatnonzero(x)
         if len(known) < PHRASE:
             return
+        self.seen[key] = copies = [doc]
         # Runs of words that no item has become one end.
         keep = x.astype(bool)
         keep[1:] |= x[:-1] > 0
         pos = np.flatnonzero(keep)
         self.seq.append(np.append(x[pos], 0))
         self.where.append((len(self.docs), np.append(pos, len(ws))))
-        self.docs.append((doc, ws))
+        self.docs.append((copies, ws, key))
         self.size += len(pos) + 1
 
     def index(self) -> FMIndex:
         return FMIndex(np.concatenate(self.seq), len(self.p.ids) + 1)
 
-    def hits(self, rare: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """(document's place, item) → [(word of the document, word of the item)] of the phrases numbered in `rare`."""
+    def located(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrase, text's place and word of the text of every occurrence of the phrases numbered in `wanted`."""
         fm = self.index()
-        lo, hi = fm.search(self.p.table[rare])
+        lo, hi = fm.search(self.p.table[wanted])
         n = np.maximum(hi - lo, 0)
         found = np.flatnonzero(n)
         which = np.repeat(found, n[found])
@@ -173,8 +180,20 @@ class Shard:
         at = fm.locate(rows)
         doc_of = np.concatenate([np.full(len(p), d) for d, p in self.where])
         word_of = np.concatenate([p for _, p in self.where])
+        return wanted[which], doc_of[at], word_of[at]
+
+    def held(self) -> list[tuple[bytes, list[int]]]:
+        """Each text that has phrases, by its hash, and which, each once."""
+        g, d, _ = self.located(np.arange(len(self.p.table)))
+        pairs = np.unique(d * len(self.p.table) + g)
+        d, g = np.divmod(pairs, len(self.p.table))
+        first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else d
+        return [(self.docs[place][2], part.tolist()) for place, part in zip(d[first].tolist(), np.split(g, first[1:]))] if len(d) else []
+
+    def hits(self, rare: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """(text's place, item) → [(word of the text, word of the item)] of the phrases numbered in `rare`."""
         out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for g, d, w in zip(rare[which].tolist(), doc_of[at].tolist(), word_of[at].tolist()):
+        for g, d, w in zip(*(x.tolist() for x in self.located(rare))):
             for item, q in self.p.places[g]:
                 out[d, item].append((w, q))
         return out
@@ -229,7 +248,7 @@ def _verified(shard: Shard, rare: np.ndarray, common: set[tuple[str, ...]]) -> I
     for (d, item), h in shard.hits(rare).items():
         if len(h) < 3:
             continue
-        doc, ws = shard.docs[d]
+        copies, ws, _ = shard.docs[d]
         iw = shard.p.items[item]
         if item not in kept:
             kept[item] = own(iw)
@@ -250,7 +269,8 @@ def _verified(shard: Shard, rare: np.ndarray, common: set[tuple[str, ...]]) -> I
                 best = (*place, span, same)
         # Altered words at a passage's ends cannot be told from other text, so the aligned part may be a little shorter.
         if best[2] >= RUN - ENDS and best[3] >= AGREE * best[2]:
-            yield doc, item, best[0], best[1], best[3]
+            for doc in copies:
+                yield doc, item, best[0], best[1], best[3]
 
 
 def _shards(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
@@ -270,10 +290,10 @@ def _shards(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[Sha
 def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """`doc_id, item_id, first_word, end_word, n_same` of every document that holds RUN or more running words of an item.
 
-    The items (an evaluation set, held by every task) are searched in all documents: the first pass only counts their phrases, which needs
-    no position, and tells the common ones; the second locates the others, and documents that meet an item in three or more phrases are
-    aligned with it word by word. Words compare without case, white space and punctuation; about one in ten may be altered, added or left
-    out. Words of common phrases count only within a passage that shares OWN words besides them. Nothing but the phrase counts is shuffled. Null and empty texts and items shorter than
+    The items (an evaluation set, held by every task) are searched in all documents: the first pass counts in how many different texts each
+    phrase stands and tells the common ones, so neither copies nor repetitions within a text make a phrase common; the second locates the
+    others, and documents that meet an item in three or more phrases are aligned with it word by word, copies in one task once. Words compare without case, white space and punctuation; about one in ten may be altered, added or left
+    out. Words of common phrases count only within a passage that shares OWN words besides them. Nothing but hashes of texts and phrase numbers is shuffled. Null and empty texts and items shorter than
     RUN words leak nothing; a repeated document is reported each time; long texts are read whole.
     """
     spark = docs.sparkSession
@@ -285,13 +305,13 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(held.value, batches):
-            lo, hi = shard.index().search(held.value.table)
-            n = np.maximum(hi - lo, 0)
-            g = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n[g])], names=["g", "n"])
+            rows = shard.held()
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.list_(pa.int64()))], names=["h", "g"])
 
-    counts = source.mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    total = docs.count()
+    # Equal texts have equal phrases, so any of them stands for its copies.
+    texts = source.mapInArrow(count, "h binary, g array<long>").groupBy("h").agg(F.any_value("g").alias("g"))
+    counts = texts.select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    total = docs.select(F.xxhash64(text)).distinct().count()
     common = np.array(sorted(r[0] for r in counts.where(F.col("n") > max(COMMON, int(COMMON_SHARE * total))).collect()), dtype=np.int64)
     rare = np.setdiff1d(np.arange(len(phrases.table)), common)
     word_of = {i: w for w, i in phrases.ids.items()}

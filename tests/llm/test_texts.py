@@ -125,6 +125,13 @@ def test_a_passage_counts_with_its_common_sentence(spark):
     assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, 5)]
 
 
+def test_copies_and_repetitions_make_no_phrase_common(spark):
+    copies = [(i, f"a {passage(25)} b") for i in range(80)]
+    docs = [*copies, (100, f"c {passage(25)} d"), (101, " and ".join([passage(25)] * 60))] + [(200 + i, f"{COMMON} filler{i}") for i in range(80)]
+    found = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert sorted({(r.doc_id, r.item_id) for r in found.collect()}) == [(i, 1) for i in [*range(80), 100, 101]]
+
+
 CLEAN = {
     "en": ["The buyer’s reference for lot {i} is “standstill” – a price of £{i},250 at 4 °C near the café, a naïve plan.", "Termination needs {i} days’ notice in writing; the fee is £{i}."],
     "fr": ["Les offres doivent être déposées à la mairie avant le {i} mai, délai de rigueur.", "Le marché {i} a été attribué après négociation, à £{i},000 hors taxes."],
