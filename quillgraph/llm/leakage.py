@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -199,19 +199,23 @@ class Shard:
         return out
 
 
-def aligned(a: list[str], b: list[str]) -> tuple[int, int, int, int]:
-    """The best local alignment of words: (first and end in `a`, words of `b` it spans, words that agree). Agreement +1, other words and gaps -2."""
+def aligned(a: list[str], b: list[str], used: set[tuple[int, int]] | frozenset = frozenset()) -> tuple[int, int, int, int, int]:
+    """The best local alignment of words: (first and end in `a`, first and end in `b`, words that agree). Agreement +1, other words and gaps -2.
+
+    Pairs of places in `used` count as other words.
+    """
     prev = [(0, 0, 0, 0)] * (len(b) + 1)  # score, start in a, start in b, agreeing
-    best, span = 0, (0, 0, 0, 0)
+    best, span = 0, (0, 0, 0, 0, 0)
     for i, w in enumerate(a):
         row = [(0, i + 1, 0, 0)]
         left = row[0]
         for j, v in enumerate(b):
             d = prev[j]
-            s = d[0] + (1 if w == v else -2)
+            same = w == v and not (used and (i, j) in used)
+            s = d[0] + (1 if same else -2)
             up, e = prev[j + 1][0] - 2, left[0] - 2
             if s >= up and s >= e and s > 0:
-                left = (s, d[1] if d[0] else i, d[2] if d[0] else j, d[3] + (w == v))
+                left = (s, d[1] if d[0] else i, d[2] if d[0] else j, d[3] + same)
             elif up > 0 and up >= e:
                 left = (up, *prev[j + 1][1:])
             elif e > 0:
@@ -219,12 +223,64 @@ def aligned(a: list[str], b: list[str]) -> tuple[int, int, int, int]:
             else:
                 left = (0, i + 1, j + 1, 0)
             if left[0] > best:
-                best, span = left[0], (left[1], i + 1, j + 1 - left[2], left[3])
+                best, span = left[0], (left[1], i + 1, left[2], j + 1, left[3])
             row.append(left)
         prev = row
     return span
 
 
+def path(a: list[str], b: list[str], used: set[tuple[int, int]] | frozenset = frozenset()) -> list[tuple[int, int, bool]]:
+    """The best alignment of all of `a` and `b`: (place in `a`, place in `b`, whether the words agree) of each step; a gap stays at the place it is before."""
+    n = len(b)
+    score = [-2 * j for j in range(n + 1)]
+    back = [bytearray([2] * (n + 1))]
+    for i, w in enumerate(a):
+        row, way = [-2 * (i + 1)], bytearray([1] * (n + 1))
+        for j, v in enumerate(b):
+            s = score[j] + (1 if w == v and not (used and (i, j) in used) else -2)
+            up, e = score[j + 1] - 2, row[j] - 2
+            way[j + 1] = 0 if s >= up and s >= e else 1 if up >= e else 2
+            row.append(max(s, up, e))
+        score = row
+        back.append(way)
+    out, i, j = [], len(a), n
+    while i or j:
+        way = back[i][j]
+        i, j = i - (way != 2), j - (way != 1)
+        out.append((i, j, way == 0 and a[i] == b[j] and not (used and (i, j) in used)))
+    return out[::-1]
+
+
+def stretches(steps: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
+    """First and end step of the longest stretches of an alignment of which AGREE agrees, apart from one another, in order.
+
+    A stretch begins and ends with agreeing words, every beginning and end of it scores, as in a best alignment, and OWN words agree.
+    """
+    runs: list[list[int]] = []
+    for k, (_, _, same) in enumerate(steps):
+        if same and runs and runs[-1][1] == k:
+            runs[-1][1] = k + 1
+        elif same:
+            runs.append([k, k + 1])
+    best, span = 0, (0, 0)
+    for x, (first, _) in enumerate(runs):
+        n = score = top = 0
+        end = first
+        for start, stop in runs[x:]:
+            score -= 2 * (start - end)
+            if score <= 0 and n:
+                break
+            n, score, end = n + stop - start, score + stop - start, stop
+            if score > top:  # else an end of it scores nothing
+                top = score
+                if n > best and n >= AGREE * (steps[stop - 1][1] + 1 - steps[first][1]):
+                    best, span = n, (first, stop)
+    if best < OWN:
+        return []
+    s, e = span
+    return [*stretches(steps[:s]), span, *((x + e, y + e) for x, y in stretches(steps[e:]))]
+
+
 def _chains(hits: list[tuple[int, int]], reach: int) -> list[list[tuple[int, int]]]:
     hits = sorted(hits)
     out = [[hits[0]]]
@@ -235,6 +291,65 @@ def _chains(hits: list[tuple[int, int]], reach: int) -> list[list[tuple[int, int
     return out
 
 
+def _windows(chain: list[tuple[int, int]], n: int, end: int) -> Iterator[tuple[int, int]]:
+    """The parts of a text around a chain in which an item of `n` words is looked for; of a long one, each stretch lies whole in one part."""
+    lo, hi = max(0, chain[0][0] - n), min(end, chain[-1][0] + n)
+    if hi - lo <= 6 * n:
+        yield lo, hi
+        return
+    for at in range(lo, hi, 2 * n):  # a best alignment has at most one and a half times the item's words
+        yield at, min(hi, at + 4 * n)
+
+
+def _passages(ws: list[str], iw: list[str], kept: list[int], own: Callable[[list[str]], list[int]], lo: int, hi: int, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(first word, end word, words that agree) of every stretch of an item between two words of a text, with the item's own words `kept`.
+
+    The best alignment is taken whole or split where too little agrees; then the text before, between and after what was taken is aligned
+    again, or all of it without that alignment if nothing was.
+    """
+    b = [iw[p] for p in kept]
+    at_b = {p: k for k, p in enumerate(kept)}
+    todo: list[tuple[int, int, frozenset[tuple[int, int]]]] = [(lo, hi, frozenset())]
+    while todo:
+        lo, hi, used = todo.pop()
+        if sum(lo <= w and w + PHRASE <= hi and (w, q) not in used for w, q in hits) < 3:
+            continue
+        places = own(ws[lo:hi])
+        at_a = {lo + p: k for k, p in enumerate(places)}
+        s, e, bs, be, same = aligned([ws[lo + p] for p in places], b, {(at_a[x], at_b[y]) for x, y in used if x in at_a and y in at_b})
+        if same < OWN:
+            continue
+        first, end = lo + places[s], lo + places[e - 1] + 1
+        taken: list[tuple[int, int, int]] = []
+        if same >= RUN and same >= AGREE * (be - bs):
+            taken.append((first, end, same))
+        else:  # with its common sentences the passage may be long enough
+            x, y = max(lo, first - len(iw)), min(hi, end + len(iw))
+            while True:
+                fs, fe, gs, ge, _ = aligned(ws[x:y], iw, {(i - x, j) for i, j in used})
+                if x + fe <= first < y:
+                    x += max(fe, 1)
+                elif x + fs >= end:
+                    y = x + fs
+                else:
+                    break
+            steps = [(x + fs + i, gs + j, ok) for i, j, ok in path(ws[x + fs : x + fe], iw[gs:ge], {(i - x - fs, j - gs) for i, j in used})]
+            for k, m in stretches(steps):
+                part = steps[k:m]
+                n = sum(ok for _, _, ok in part)
+                # Altered words at a passage's ends cannot be told from other text, so the aligned part may be a little shorter.
+                if part[-1][1] + 1 - part[0][1] >= RUN - ENDS and sum(ok and i in at_a and j in at_b for i, j, ok in part) >= OWN:
+                    taken.append((part[0][0], part[-1][0] + 1, n))
+            if not taken:
+                mine = path([ws[lo + p] for p in places[s:e]], b[bs:be], {(at_a[i] - s, at_b[j] - bs) for i, j in used if i in at_a and j in at_b})
+                tried = {(i, j) for i, j, ok in steps if ok} | {(lo + places[s + i], kept[bs + j]) for i, j, ok in mine if ok}
+                todo.append((lo, hi, used | tried))
+        yield from taken
+        if taken:
+            edges = [lo, *(x for f, t, _ in taken for x in (f, t)), hi]
+            todo += [(f, t, used) for f, t in zip(edges[::2], edges[1::2])]
+
+
 def _verified(shard: Shard, rare: np.ndarray, common: set[tuple[str, ...]]) -> Iterator[tuple[int, int, int, int, int]]:
     def own(ws: list[str]) -> list[int]:
         """Places of the words that are in no common phrase."""
@@ -252,25 +367,17 @@ def _verified(shard: Shard, rare: np.ndarray, common: set[tuple[str, ...]]) -> I
         iw = shard.p.items[item]
         if item not in kept:
             kept[item] = own(iw)
-        b = [iw[p] for p in kept[item]]
-        best = (0, 0, 0, 0)
+        found: set[tuple[int, int, int]] = set()
         for chain in _chains(h, len(iw)):
-            if len(chain) < 3:
-                continue
-            lo = max(0, chain[0][0] - len(iw))
-            part = ws[lo : chain[-1][0] + len(iw)]
-            places = own(part)
-            s, e, span, same = aligned([part[p] for p in places], b)
-            place = (lo + places[s], lo + places[e - 1] + 1) if e else (lo, lo)
-            if OWN <= same < RUN:  # with its common sentences the passage may be long enough
-                s, e, span, same = aligned(part, iw)
-                place = (lo + s, lo + e)
-            if same > best[3]:
-                best = (*place, span, same)
-        # Altered words at a passage's ends cannot be told from other text, so the aligned part may be a little shorter.
-        if best[2] >= RUN - ENDS and best[3] >= AGREE * best[2]:
-            for doc in copies:
-                yield doc, item, best[0], best[1], best[3]
+            if len(chain) >= 3:
+                for lo, hi in _windows(chain, len(iw), len(ws)):
+                    found.update(_passages(ws, iw, kept[item], own, lo, hi, chain))
+        reach = -1
+        for first, end, same in sorted(found, key=lambda x: (x[0], -x[1], -x[2])):
+            if end > reach:  # else within another one, of another part
+                reach = end
+                for doc in copies:
+                    yield doc, item, first, end, same
 
 
 def _shards(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
@@ -288,7 +395,7 @@ def _shards(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[Sha
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
-    """`doc_id, item_id, first_word, end_word, n_same` of every document that holds RUN or more running words of an item.
+    """`doc_id, item_id, first_word, end_word, n_same` of every stretch of a document that holds RUN or more running words of an item.
 
     The items (an evaluation set, held by every task) are searched in all documents: the first pass counts in how many different texts each
     phrase stands and tells the common ones, so neither copies nor repetitions within a text make a phrase common; the second locates the

@@ -132,6 +132,18 @@ def test_copies_and_repetitions_make_no_phrase_common(spark):
     assert sorted({(r.doc_id, r.item_id) for r in found.collect()}) == [(i, 1) for i in [*range(80), 100, 101]]
 
 
+def test_every_stretch_of_an_item_leaks(spark):
+    long = [f"item{i}" for i in range(100)]
+    gap = long[:20] + ["other"] * 8 + long[28:48]
+    docs = [(1, " ".join(["x", *gap, "y"])), (2, " ".join([*long[:25], *["gap"] * 30, *long[60:90]])), (3, " ".join([*long[:22], "gap", *long[:22]])), (4, " gap ".join([" ".join(long[:30])] * 40)), (5, " ".join([*long[:9], *["other"] * 4, *long[13:24]]))]
+    found = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(long))], "item_id long, text string"))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.doc_id, []).append((r.first_word, r.end_word))
+    got = {i: sorted(x) for i, x in got.items()}
+    assert got == {1: [(1, 21), (29, 49)], 2: [(0, 25), (55, 85)], 3: [(0, 22), (23, 45)], 4: [(31 * k, 31 * k + 30) for k in range(40)]}
+
+
 CLEAN = {
     "en": ["The buyer’s reference for lot {i} is “standstill” – a price of £{i},250 at 4 °C near the café, a naïve plan.", "Termination needs {i} days’ notice in writing; the fee is £{i}."],
     "fr": ["Les offres doivent être déposées à la mairie avant le {i} mai, délai de rigueur.", "Le marché {i} a été attribué après négociation, à £{i},000 hors taxes."],
