@@ -177,3 +177,12 @@ def test_wrong_decodings_are_found_and_undone(spark):
     assert {i: got[i] for i in clean} == {i: (t, False) for i, t in clean.items()}
     assert not any(r.garbled for r in mojibake.repair_corpus(df).where("doc_id >= 1000").collect())
     assert mojibake.repair_corpus(df.limit(0)).count() == 0
+
+
+def test_a_letter_the_sample_lacks_is_restored(spark):
+    docs = [(1000 + i, t.format(i=i), lang) for lang, ts in CLEAN.items() for t in ts for i in range(40)]
+    good = {1: "The fee is £5,250 for the office in Köln near the café.", 2: "Mr Szabó and Mr Novák signed the plan – it costs £{i},000.", 3: "Bids go to Malmö… at a price of £5,250."}
+    cases = {10 * i + k: (t, wrong(t, ("utf-8", codec))) for i, t in good.items() for k, codec in enumerate(["cp1251", "mac_roman", "latin-1", "cp437"])}
+    df = spark.createDataFrame([*docs, *((i, t, "en") for i, (_, t) in cases.items()), *((i, t, "en") for i, t in good.items())], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.text, r.garbled) for r in mojibake.repair_corpus(df).where("doc_id < 1000").collect()}
+    assert got == {i: (t, True) for i, (t, _) in cases.items()} | {i: (t, False) for i, t in good.items()}
