@@ -173,8 +173,22 @@ def parse_names(names: DataFrame) -> DataFrame:
 
 
 def core_keys(core: list[str], near: dict[str, list[tuple[str, int]]]) -> dict[str, int]:
-    """The pairs of own words a name may mean, with the edits that takes: as they stand, with neighbours, or one long word in two."""
+    """The own words a name may mean, with the edits that takes: pairs as they stand, with neighbours, or one long word in two.
+
+    Where there are not two own words, all of them too: as they stand, or with neighbours for one or two.
+    """
     out: dict[str, int] = {}
+    if len(core) != 2:
+        out[" ".join(core)] = 0
+        options = [(k, x, i) for k, w in enumerate(core) for x, i in near.get(w, ())]
+        for change in [*combinations(options, 1), *combinations(options, 2)]:
+            d = sum(i for _, _, i in change)
+            if len({k for k, _, _ in change}) == len(change) and d <= EDITS + 2:
+                ws = list(core)
+                for k, x, _ in change:
+                    ws[k] = x
+                whole = " ".join(sorted(ws))
+                out[whole] = min(d, out.get(whole, 9))
 
     def put(x: str, y: str, d: int) -> None:
         k = f"{x} {y}" if x <= y else f"{y} {x}"
@@ -224,8 +238,8 @@ def _fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def name_groups(names: DataFrame) -> DataFrame:
     """`id, component` of the names (`id, name, n`) that belong to one organisation.
 
-    A name is read as own words, kind, legal form and given name. Names of equal own words in any order, kind and given name are one
-    group. A name that is misspelt, cut off, run together or leaves out its kind is linked to the group that it comes nearest to, of the
+    A name is read as own words, kind, legal form and given name. Names of equal own words (any number, in any order), kind and given name
+    are one group. A name that is misspelt, cut off, run together or leaves out its kind is linked to the group that it comes nearest to, of the
     same kind and given name as far as it tells them, that is met more often; if two kinds come equally near it is linked to neither.
     """
     parsed = cut(parse_names(names))
@@ -242,19 +256,21 @@ def name_groups(names: DataFrame) -> DataFrame:
     per = words.select("id", "word").join(near, "word").groupBy("id").agg(F.collect_list(F.struct("word", "near")).alias("near"))
     keys = cut(parsed.select("id", "core").join(per, "id", "left").select("id", "core", "near").repartition(tasks(names.sparkSession), "id").mapInArrow(_keyed, "id long, key string, edits int"))
 
-    whole = parsed.where((F.size("core") == 2) & (F.size("cut") == 0)).withColumn("key", F.array_join("core", " "))
+    whole = parsed.where(F.size("cut") == 0).withColumn("key", F.array_join("core", " "))
     own = whole.withColumn("group", F.xxhash64("key", "kind", "given"))
     groups = cut(own.groupBy("group", "key", "kind", "given").agg(F.sum("n").alias("weight"), F.collect_set("legal").alias("legals")))
-    named = parsed.select("id", "kind", "legal", "given").join(own.select("id", "group"), "id", "left").join(groups.select("group", F.col("weight").alias("own")), "group", "left").withColumnRenamed("group", "mine")
-    g = groups.select("key", "group", F.col("kind").alias("gkind"), F.col("given").alias("ggiven"), "legals", "weight")
-    met = keys.join(g, "key").join(named, "id").where(F.col("mine").isNull() | ((F.col("group") != F.col("mine")) & ((F.col("edits") == 0) | (F.col("weight") > F.col("own")))))
+    named = parsed.select("id", "kind", "legal", "given", (F.size("core") == 2).alias("pair")).join(own.select("id", "group"), "id", "left").join(groups.select("group", F.col("weight").alias("own")), "group", "left").withColumnRenamed("group", "mine")
+    of_two = F.size(F.split("key", " ")) == 2
+    g = groups.select("key", "group", of_two.alias("gpair"), F.col("kind").alias("gkind"), F.col("given").alias("ggiven"), "legals", "weight")
+    met = keys.join(g, "key").join(named, "id").where(F.col("mine").isNull() | (F.col("gpair") & ~F.col("pair")) | ((F.col("group") != F.col("mine")) & ((F.col("edits") == 0) | (F.col("weight") > F.col("own")))))
     met = met.where("gkind <> '' or ggiven <> '' or kind = ''")
     typed = F.when(F.col("kind") == "", 0).otherwise(1)
     met = met.select("id", "group", "edits", "weight", "kind", "gkind", "legal", "legals", "given", "ggiven", typed.alias("typed"))
     fit = met.mapInArrow(_fits, "id long, group long, edits int, weight long, ok boolean").where("ok").drop("ok")
-    tell = fit.join(groups.select("group", "kind", "given"), "group").withColumn("bare", (F.col("kind") == "") & (F.col("given") == ""))
-    first = W.partitionBy("id").orderBy("bare", "edits", F.desc("weight"), "group")
-    best = tell.withColumn("r", F.row_number().over(first)).withColumn("same", F.count(F.lit(1)).over(W.partitionBy("id", "bare", "edits"))).where("r = 1")
+    tell = fit.join(groups.select("group", "kind", "given", (~of_two).alias("other")), "group").withColumn("bare", (F.col("kind") == "") & (F.col("given") == ""))
+    # Words beyond two are mostly misspelt kinds, so groups of two own words come first.
+    first = W.partitionBy("id").orderBy("other", "bare", "edits", F.desc("weight"), "group")
+    best = tell.withColumn("r", F.row_number().over(first)).withColumn("same", F.count(F.lit(1)).over(W.partitionBy("id", "other", "bare", "edits"))).where("r = 1")
     telling = parsed.select("id", ((F.col("kind") != "") | (F.col("given") != "")).alias("telling"))
     links = best.join(telling, "id").where("telling or same = 1").select(F.col("id").alias("a"), F.col("group").alias("b"))
     edges = own.select(F.col("id").alias("a"), F.col("group").alias("b")).unionByName(links)
