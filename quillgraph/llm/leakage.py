@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 from .neardup import words
 
 #: Words of a searched phrase. Twenty words of which a tenth are altered keep several runs of this length.
@@ -23,10 +23,18 @@ RUN, AGREE = 20, 0.85
 ENDS = 3
 #: Words outside common phrases that a passage must share.
 OWN = 12
-#: A phrase is common if more different texts than this, and more than this share of them, have it.
+#: Words from one phrase's beginning to the next one's within a run: two altered words may stand near one another.
+GAP = 2 * PHRASE + 2
+#: Words that the phrases of a passage cover at least: of RUN words, two altered ones leave so many together.
+SPAN = 12
+#: Words beside a run that may belong to its passage.
+REACH = 12
+#: A phrase is common if more different texts than this, and more than this share of them, have it outside passages.
 COMMON, COMMON_SHARE = 50, 0.005
 #: Words of one index.
-SHARD = 200_000
+SHARD = 400_000
+#: Characters of the evaluation set that a pass searches.
+BLOCK = 32_000_000
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -118,30 +126,45 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """The evaluation items as words and as phrases. Its size follows the evaluation set, never the corpus."""
+    """The evaluation items as words and as phrases. Its size follows a block of the evaluation set, never the corpus."""
 
-    items: dict[int, list[str]]
+    items: dict[int, list[int]]
     ids: dict[str, int]
     table: np.ndarray
     places: list[list[tuple[int, int]]]
+    number: dict[int, list[int]]
 
     @classmethod
     def of(cls, texts: list[tuple[int, str | None]]) -> Phrases:
-        items = {i: w for i, t in texts if t and len(w := words(t)) >= RUN}
         ids: dict[str, int] = {}
-        at: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
-        for i, ws in items.items():
-            x = [ids.setdefault(w, len(ids) + 1) for w in ws]
+        items = {i: [ids.setdefault(x, len(ids) + 1) for x in w] for i, t in texts if t and len(w := words(t)) >= RUN}
+        at: dict[tuple[int, ...], int] = {}
+        places: list[list[tuple[int, int]]] = []
+        number: dict[int, list[int]] = {}
+        for i, x in items.items():
+            number[i] = []
             for p in range(len(x) - PHRASE + 1):
-                at[tuple(x[p : p + PHRASE])].append((i, p))
-        return cls(items, ids, np.array(list(at), dtype=np.int64).reshape(-1, PHRASE), list(at.values()))
+                g = at.setdefault(tuple(x[p : p + PHRASE]), len(at))
+                if g == len(places):
+                    places.append([])
+                places[g].append((i, p))
+                number[i].append(g)
+        return cls(items, ids, np.array(list(at), dtype=np.int64).reshape(-1, PHRASE), places, number)
+
+    def covered(self, n: int, found: list[tuple[int, int]], common: set[int]) -> bytearray:
+        """Which of `n` words stand in a common phrase, from (phrase, place) of the phrases among them."""
+        out = bytearray(n)
+        for g, p in found:
+            if g in common:
+                out[p : p + PHRASE] = b"\1" * PHRASE
+        return out
 
 
 class Shard:
     """Different texts of one task as a sequence of the items' words, broken where another word stands, and the documents that have each."""
 
     def __init__(self, phrases: Phrases) -> None:
-        self.p, self.docs, self.seq, self.where, self.size = phrases, [], [], [], 0
+        self.p, self.docs, self.seq, self.size = phrases, [], [], 0
         self.seen: dict[bytes, list[int]] = {}
 
     def add(self, doc: int, text: str | None) -> None:
@@ -151,93 +174,75 @@ class Shard:
         if key in self.seen:
             self.seen[key].append(doc)
             return
-        ws, get = words(text), self.p.ids.get
-        x = np.fromiter((get(w, 0) for w in ws), dtype=np.int64, count=len(ws))
-        known = np.flatnonzero(x)
-        if len(known) < PHRASE:
-            return
         self.seen[key] = copies = [doc]
-        # Runs of words that no item has become one end.
-        keep = x.astype(bool)
-        keep[1:] |= x[:-1] > 0
-        pos = np.flatnonzero(keep)
-        self.seq.append(np.append(x[pos], 0))
-        self.where.append((len(self.docs), np.append(pos, len(ws))))
-        self.docs.append((copies, ws, key))
-        self.size += len(pos) + 1
-
-    def index(self) -> FMIndex:
-        return FMIndex(np.concatenate(self.seq), len(self.p.ids) + 1)
-
-    def located(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrase, text's place and word of the text of every occurrence of the phrases numbered in `wanted`."""
-        fm = self.index()
-        lo, hi = fm.search(self.p.table[wanted])
+        get = self.p.ids.get
+        x = np.array([get(w, 0) for w in words(text)] + [0], dtype=np.int64)
+        self.seq.append(x)
+        self.docs.append((key, copies))
+        self.size += len(x)
+
+    def located(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrase, place in all words) of every phrase's occurrences in order of place, and all words, by backward search in the shard's index."""
+        x = np.concatenate(self.seq)
+        known = x > 0
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], known, [False]]).astype(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        long = end - start >= PHRASE  # shorter runs of known words hold no phrase
+        if not long.any():
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, x
+        start, end = start[long], end[long]
+        step = np.zeros(len(x) + 1, dtype=np.int64)
+        step[start] += 1
+        step[end + 1] -= 1  # one word beyond each run ends it
+        pos = np.flatnonzero(np.cumsum(step[:-1]))
+        fm = FMIndex(x[pos], len(self.p.ids) + 1)
+        lo, hi = fm.search(self.p.table)
         n = np.maximum(hi - lo, 0)
         found = np.flatnonzero(n)
         which = np.repeat(found, n[found])
         rows = lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(n[found]) - n[found], n[found])
-        at = fm.locate(rows)
-        doc_of = np.concatenate([np.full(len(p), d) for d, p in self.where])
-        word_of = np.concatenate([p for _, p in self.where])
-        return wanted[which], doc_of[at], word_of[at]
-
-    def held(self) -> list[tuple[bytes, list[int]]]:
-        """Each text that has phrases, by its hash, and which, each once."""
-        g, d, _ = self.located(np.arange(len(self.p.table)))
-        pairs = np.unique(d * len(self.p.table) + g)
-        d, g = np.divmod(pairs, len(self.p.table))
-        first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else d
-        return [(self.docs[place][2], part.tolist()) for place, part in zip(d[first].tolist(), np.split(g, first[1:]))] if len(d) else []
-
-    def hits(self, rare: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """(text's place, item) → [(word of the text, word of the item)] of the phrases numbered in `rare`."""
-        out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for g, d, w in zip(*(x.tolist() for x in self.located(rare))):
-            for item, q in self.p.places[g]:
-                out[d, item].append((w, q))
-        return out
-
-
-def aligned(a: list[str], b: list[str], used: set[tuple[int, int]] | frozenset = frozenset()) -> tuple[int, int, int, int, int]:
-    """The best local alignment of words: (first and end in `a`, first and end in `b`, words that agree). Agreement +1, other words and gaps -2.
-
-    Pairs of places in `used` count as other words.
-    """
-    prev = [(0, 0, 0, 0)] * (len(b) + 1)  # score, start in a, start in b, agreeing
-    best, span = 0, (0, 0, 0, 0, 0)
-    for i, w in enumerate(a):
-        row = [(0, i + 1, 0, 0)]
-        left = row[0]
-        for j, v in enumerate(b):
-            d = prev[j]
-            same = w == v and not (used and (i, j) in used)
-            s = d[0] + (1 if same else -2)
-            up, e = prev[j + 1][0] - 2, left[0] - 2
-            if s >= up and s >= e and s > 0:
-                left = (s, d[1] if d[0] else i, d[2] if d[0] else j, d[3] + same)
-            elif up > 0 and up >= e:
-                left = (up, *prev[j + 1][1:])
-            elif e > 0:
-                left = (e, *left[1:])
-            else:
-                left = (0, i + 1, j + 1, 0)
-            if left[0] > best:
-                best, span = left[0], (left[1], i + 1, left[2], j + 1, left[3])
-            row.append(left)
-        prev = row
-    return span
-
-
-def path(a: list[str], b: list[str], used: set[tuple[int, int]] | frozenset = frozenset()) -> list[tuple[int, int, bool]]:
-    """The best alignment of all of `a` and `b`: (place in `a`, place in `b`, whether the words agree) of each step; a gap stays at the place it is before."""
+        at = pos[fm.locate(rows)]
+        order = np.argsort(at)
+        return which[order], at[order], x
+
+    def evidence(self) -> Iterator[tuple[bytes, list[int], list[int], list[tuple[int, list[int], list[int], list[int]]]]]:
+        """(hash, documents, phrases that stand alone, windows) of each text; a window is (first word, words, phrases, their places in it).
+
+        Phrases with no more than GAP words between two form a run. One shorter than a passage says that its phrases also stand
+        without the rest of an item; one of SPAN words or more may be a passage.
+        """
+        g, at, x = self.located()
+        first = np.cumsum([0, *(len(s) for s in self.seq)])
+        doc = np.searchsorted(first, at, side="right") - 1
+        cut_at = np.flatnonzero((np.diff(at) > GAP) | (np.diff(doc) > 0)) + 1
+        a, b = np.concatenate([[0], cut_at]), np.concatenate([cut_at, [len(at)]])
+        alone: dict[int, list[int]] = defaultdict(list)
+        windows: dict[int, list[tuple[int, list[int], list[int], list[int]]]] = defaultdict(list)
+        if len(at):
+            span = at[b - 1] + PHRASE - at[a]
+            for s, e, k, d in zip(a.tolist(), b.tolist(), span.tolist(), doc[a].tolist()):
+                if k < RUN - ENDS:
+                    alone[d] += g[s:e].tolist()
+                if k >= SPAN:
+                    lo, hi = max(int(first[d]), int(at[s]) - REACH), min(int(first[d + 1]) - 1, int(at[e - 1]) + PHRASE + REACH)
+                    windows[d].append((lo - int(first[d]), x[lo:hi].tolist(), g[s:e].tolist(), (at[s:e] - lo).tolist()))
+        for d, (key, copies) in enumerate(self.docs):
+            yield key, copies, sorted(set(alone.get(d, ()))), windows.get(d, [])
+
+
+Step = tuple[int, int, int]  # place in the text, place in the item, 0 other or left-out word of the item, 1 the same word, 2 a word more in the text
+
+
+def path(a: list[int], b: list[int], i0: int = 0, j0: int = 0) -> list[Step]:
+    """The steps of the best alignment of all of `a` and `b` (the same word +1, anything else -2), their places counted from `i0` and `j0`."""
     n = len(b)
     score = [-2 * j for j in range(n + 1)]
     back = [bytearray([2] * (n + 1))]
     for i, w in enumerate(a):
         row, way = [-2 * (i + 1)], bytearray([1] * (n + 1))
         for j, v in enumerate(b):
-            s = score[j] + (1 if w == v and not (used and (i, j) in used) else -2)
+            s = score[j] + (1 if w == v else -2)
             up, e = score[j + 1] - 2, row[j] - 2
             way[j + 1] = 0 if s >= up and s >= e else 1 if up >= e else 2
             row.append(max(s, up, e))
@@ -247,20 +252,91 @@ def path(a: list[str], b: list[str], used: set[tuple[int, int]] | frozenset = fr
     while i or j:
         way = back[i][j]
         i, j = i - (way != 2), j - (way != 1)
-        out.append((i, j, way == 0 and a[i] == b[j] and not (used and (i, j) in used)))
+        out.append((i0 + i, j0 + j, 2 if way == 1 else int(way == 0 and a[i] == b[j])))
     return out[::-1]
 
 
-def stretches(steps: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
+def seeds(x: list[int], y: list[int], hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(first word in `x`, end, first word in `y`) of the longest equal runs of words that hold the shared phrases `hits`."""
+    out = []
+    end: dict[int, int] = {}
+    for w, q in sorted(hits):
+        d = w - q
+        if w < end.get(d, -1):
+            continue
+        i, j = w, q
+        while i and j and x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+        e, f = w + PHRASE, q + PHRASE
+        while e < len(x) and f < len(y) and x[e] == y[f]:
+            e, f = e + 1, f + 1
+        end[d] = e
+        out.append((i, e, j))
+    return sorted(out)
+
+
+def chains(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Runs in line with one another, best chains first, every run in one chain; words between runs cost 2 each, overlaps are trimmed."""
+    n = len(runs)
+    score, before, trim = [0] * n, [-1] * n, [0] * n
+    for k, (s, e, q) in enumerate(runs):
+        score[k] = e - s
+        for i in range(k - 1, -1, -1):
+            s1, e1, q1 = runs[i]
+            if s - e1 > score[i]:  # a gap that no chain up to there outweighs, as runs are in order of place
+                if s - s1 > 2 * RUN * RUN:
+                    break
+                continue
+            over = max(0, e1 - s, q1 + e1 - s1 - q)
+            if over >= e - s or s1 == s or q <= q1:
+                continue
+            gap = max(s + over - e1, q + over - q1 - (e1 - s1))
+            if score[i] > 2 * gap and score[i] + e - s - over - 2 * gap > score[k]:
+                score[k], before[k], trim[k] = score[i] + e - s - over - 2 * gap, i, over
+    used, out = [False] * n, []
+    for k in sorted(range(n), key=lambda k: (-score[k], k)):
+        chain = []
+        while k >= 0 and not used[k]:
+            used[k] = True
+            s, e, q = runs[k]
+            up = before[k]
+            o = trim[k] if up >= 0 and not used[up] else 0
+            chain.append((s + o, e, q + o))
+            k = up
+        if chain:
+            out.append(chain[::-1])
+    return out
+
+
+def steps_of(x: list[int], y: list[int], chain: list[tuple[int, int, int]]) -> list[Step]:
+    """A chain's alignment: its runs, the words between them and REACH words before and after."""
+    s, _, q = chain[0]
+    lo = min(s, q, REACH)
+    out = path(x[s - lo : s], y[q - lo : q], s - lo, q - lo) if lo else []
+    at, aq = s, q
+    for s, e, q in chain:
+        if (s - at) * (q - aq) <= 2_500:
+            out += path(x[at:s], y[aq:q], at, aq)
+        else:  # far apart: the shorter gap word by word
+            out += [(min(at + i, s), min(aq + i, q), 2 if aq + i >= q else 0) for i in range(max(s - at, q - aq))]
+        out += [(i, q + i - s, 1) for i in range(s, e)]
+        at, aq = e, q + e - s
+    hi = min(len(x) - at, len(y) - aq, REACH)
+    return out + (path(x[at : at + hi], y[aq : aq + hi], at, aq) if hi else [])
+
+
+def stretches(steps: list[Step]) -> list[tuple[int, int]]:
     """First and end step of the longest stretches of an alignment of which AGREE agrees, apart from one another, in order.
 
     A stretch begins and ends with agreeing words, every beginning and end of it scores, as in a best alignment, and OWN words agree.
     """
     runs: list[list[int]] = []
-    for k, (_, _, same) in enumerate(steps):
-        if same and runs and runs[-1][1] == k:
+    moved = [0]
+    for k, (_, _, kind) in enumerate(steps):
+        moved.append(moved[-1] + (kind < 2))
+        if kind == 1 and runs and runs[-1][1] == k:
             runs[-1][1] = k + 1
-        elif same:
+        elif kind == 1:
             runs.append([k, k + 1])
     best, span = 0, (0, 0)
     for x, (first, _) in enumerate(runs):
@@ -273,7 +349,7 @@ def stretches(steps: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
             n, score, end = n + stop - start, score + stop - start, stop
             if score > top:  # else an end of it scores nothing
                 top = score
-                if n > best and n >= AGREE * (steps[stop - 1][1] + 1 - steps[first][1]):
+                if n > best and n >= AGREE * (moved[stop] - moved[first]):
                     best, span = n, (first, stop)
     if best < OWN:
         return []
@@ -281,103 +357,43 @@ def stretches(steps: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
     return [*stretches(steps[:s]), span, *((x + e, y + e) for x, y in stretches(steps[e:]))]
 
 
-def _chains(hits: list[tuple[int, int]], reach: int) -> list[list[tuple[int, int]]]:
-    hits = sorted(hits)
-    out = [[hits[0]]]
-    for h in hits[1:]:
-        if h[0] - out[-1][-1][0] > reach:
-            out.append([])
-        out[-1].append(h)
-    return out
-
-
-def _windows(chain: list[tuple[int, int]], n: int, end: int) -> Iterator[tuple[int, int]]:
-    """The parts of a text around a chain in which an item of `n` words is looked for; of a long one, each stretch lies whole in one part."""
-    lo, hi = max(0, chain[0][0] - n), min(end, chain[-1][0] + n)
-    if hi - lo <= 6 * n:
-        yield lo, hi
-        return
-    for at in range(lo, hi, 2 * n):  # a best alignment has at most one and a half times the item's words
-        yield at, min(hi, at + 4 * n)
+def passages(p: Phrases, common: set[int], x: list[int], g: list[int], at: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(item, first word, end word, words that agree) of every stretch of an item in a window of words with the phrases `g` at the places `at`.
 
-
-def _passages(ws: list[str], iw: list[str], kept: list[int], own: Callable[[list[str]], list[int]], lo: int, hi: int, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
-    """(first word, end word, words that agree) of every stretch of an item between two words of a text, with the item's own words `kept`.
-
-    The best alignment is taken whole or split where too little agrees; then the text before, between and after what was taken is aligned
-    again, or all of it without that alignment if nothing was.
+    Words that differ inside a common phrase of either side are passed over, so a passage may lose or gain a common sentence; of what agrees,
+    OWN words must stand outside common phrases.
     """
-    b = [iw[p] for p in kept]
-    at_b = {p: k for k, p in enumerate(kept)}
-    todo: list[tuple[int, int, frozenset[tuple[int, int]]]] = [(lo, hi, frozenset())]
-    while todo:
-        lo, hi, used = todo.pop()
-        if sum(lo <= w and w + PHRASE <= hi and (w, q) not in used for w, q in hits) < 3:
+    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for n, w in zip(g, at):
+        if n not in common:
+            for item, q in p.places[n]:
+                hits[item].append((w, q))
+    cx = None
+    for item, h in hits.items():
+        if len(h) < 3:
             continue
-        places = own(ws[lo:hi])
-        at_a = {lo + p: k for k, p in enumerate(places)}
-        s, e, bs, be, same = aligned([ws[lo + p] for p in places], b, {(at_a[x], at_b[y]) for x, y in used if x in at_a and y in at_b})
-        if same < OWN:
+        y = p.items[item]
+        runs = seeds(x, y, h)
+        if sum(e - s for s, e, _ in runs) < PHRASE + 2:
             continue
-        first, end = lo + places[s], lo + places[e - 1] + 1
-        taken: list[tuple[int, int, int]] = []
-        if same >= RUN and same >= AGREE * (be - bs):
-            taken.append((first, end, same))
-        else:  # with its common sentences the passage may be long enough
-            x, y = max(lo, first - len(iw)), min(hi, end + len(iw))
-            while True:
-                fs, fe, gs, ge, _ = aligned(ws[x:y], iw, {(i - x, j) for i, j in used})
-                if x + fe <= first < y:
-                    x += max(fe, 1)
-                elif x + fs >= end:
-                    y = x + fs
-                else:
-                    break
-            steps = [(x + fs + i, gs + j, ok) for i, j, ok in path(ws[x + fs : x + fe], iw[gs:ge], {(i - x - fs, j - gs) for i, j in used})]
+        if cx is None:
+            cx = p.covered(len(x), list(zip(g, at)), common)
+        cy = p.covered(len(y), list(zip(p.number[item], range(len(y)))), common)
+        found = []
+        for chain in chains(runs):
+            steps = [t for t in steps_of(x, y, chain) if t[2] == 1 or not ((t[0] < len(x) and cx[t[0]]) if t[2] == 2 else cy[t[1]])]
             for k, m in stretches(steps):
                 part = steps[k:m]
-                n = sum(ok for _, _, ok in part)
+                same = sum(t[2] == 1 for t in part)
+                own = sum(t[2] == 1 and not cx[t[0]] and not cy[t[1]] for t in part)
                 # Altered words at a passage's ends cannot be told from other text, so the aligned part may be a little shorter.
-                if part[-1][1] + 1 - part[0][1] >= RUN - ENDS and sum(ok and i in at_a and j in at_b for i, j, ok in part) >= OWN:
-                    taken.append((part[0][0], part[-1][0] + 1, n))
-            if not taken:
-                mine = path([ws[lo + p] for p in places[s:e]], b[bs:be], {(at_a[i] - s, at_b[j] - bs) for i, j in used if i in at_a and j in at_b})
-                tried = {(i, j) for i, j, ok in steps if ok} | {(lo + places[s + i], kept[bs + j]) for i, j, ok in mine if ok}
-                todo.append((lo, hi, used | tried))
-        yield from taken
-        if taken:
-            edges = [lo, *(x for f, t, _ in taken for x in (f, t)), hi]
-            todo += [(f, t, used) for f, t in zip(edges[::2], edges[1::2])]
-
-
-def _verified(shard: Shard, rare: np.ndarray, common: set[tuple[str, ...]]) -> Iterator[tuple[int, int, int, int, int]]:
-    def own(ws: list[str]) -> list[int]:
-        """Places of the words that are in no common phrase."""
-        drop: set[int] = set()
-        for p in range(len(ws) - PHRASE + 1):
-            if tuple(ws[p : p + PHRASE]) in common:
-                drop.update(range(p, p + PHRASE))
-        return [p for p in range(len(ws)) if p not in drop]
-
-    kept: dict[int, list[int]] = {}
-    for (d, item), h in shard.hits(rare).items():
-        if len(h) < 3:
-            continue
-        copies, ws, _ = shard.docs[d]
-        iw = shard.p.items[item]
-        if item not in kept:
-            kept[item] = own(iw)
-        found: set[tuple[int, int, int]] = set()
-        for chain in _chains(h, len(iw)):
-            if len(chain) >= 3:
-                for lo, hi in _windows(chain, len(iw), len(ws)):
-                    found.update(_passages(ws, iw, kept[item], own, lo, hi, chain))
+                if sum(t[2] < 2 for t in part) >= RUN - ENDS and own >= OWN:
+                    found.append((part[0][0], part[-1][0] + 1, same))
         reach = -1
-        for first, end, same in sorted(found, key=lambda x: (x[0], -x[1], -x[2])):
-            if end > reach:  # else within another one, of another part
+        for first, end, same in sorted(found, key=lambda f: (f[0], -f[1], -f[2])):
+            if end > reach:  # else within another one
                 reach = end
-                for doc in copies:
-                    yield doc, item, first, end, same
+                yield item, first, end, same
 
 
 def _shards(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
@@ -394,44 +410,74 @@ def _shards(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[Sha
         yield shard
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
-    """`doc_id, item_id, first_word, end_word, n_same` of every stretch of a document that holds RUN or more running words of an item.
+_WINDOW = pa.struct([("first", pa.int32()), ("words", pa.list_(pa.int32())), ("g", pa.list_(pa.int32())), ("at", pa.list_(pa.int32()))])
+_EVIDENCE = "h binary, docs array<long>, alone array<int>, windows array<struct<first: int, words: array<int>, g: array<int>, at: array<int>>>"
+_FOUND = "doc_id long, item_id long, first_word int, end_word int, n_same int"
 
-    The items (an evaluation set, held by every task) are searched in all documents: the first pass counts in how many different texts each
-    phrase stands and tells the common ones, so neither copies nor repetitions within a text make a phrase common; the second locates the
-    others, and documents that meet an item in three or more phrases are aligned with it word by word, copies in one task once. Words compare without case, white space and punctuation; about one in ten may be altered, added or left
-    out. Words of common phrases count only within a passage that shares OWN words besides them. Nothing but hashes of texts and phrase numbers is shuffled. Null and empty texts and items shorter than
-    RUN words leak nothing; a repeated document is reported each time; long texts are read whole.
-    """
-    spark = docs.sparkSession
-    phrases = Phrases.of([(r[0], r[1]) for r in items.select(F.col(item).cast("long"), text).orderBy(item).collect()])
-    source = spread(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    if not len(phrases.table):
-        return spark.createDataFrame([], "doc_id long, item_id long, first_word int, end_word int, n_same int")
+
+def _leaks_of(source: DataFrame, phrases: Phrases) -> DataFrame:
+    spark = source.sparkSession
     held = spark.sparkContext.broadcast(phrases)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(held.value, batches):
-            rows = shard.held()
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.list_(pa.int64()))], names=["h", "g"])
+            rows = list(shard.evidence())
+            cols = [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int32()))]
+            shown = [[{"first": f, "words": x, "g": g, "at": at} for f, x, g, at in r[3]] for r in rows]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(shown, pa.list_(_WINDOW))], names=["h", "docs", "alone", "windows"])
 
+    seen = cut(source.mapInArrow(search, _EVIDENCE))
     # Equal texts have equal phrases, so any of them stands for its copies.
-    texts = source.mapInArrow(count, "h binary, g array<long>").groupBy("h").agg(F.any_value("g").alias("g"))
-    counts = texts.select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    total = docs.select(F.xxhash64(text)).distinct().count()
-    common = np.array(sorted(r[0] for r in counts.where(F.col("n") > max(COMMON, int(COMMON_SHARE * total))).collect()), dtype=np.int64)
-    rare = np.setdiff1d(np.arange(len(phrases.table)), common)
-    word_of = {i: w for w, i in phrases.ids.items()}
-    known = spark.sparkContext.broadcast((rare, {tuple(word_of[x] for x in row) for row in phrases.table[common].tolist()}))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, c = known.value
-        for shard in _shards(held.value, batches):
-            rows = list(_verified(shard, r, c))
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], names=["doc_id", "item_id", "first_word", "end_word", "n_same"])
+    alone = seen.where(F.size("alone") > 0).groupBy("h").agg(F.any_value("alone").alias("g")).select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    texts = seen.select("h").distinct().count()
+    common = {r[0] for r in alone.where(F.col("n") > max(COMMON, int(COMMON_SHARE * texts))).collect()}  # at most the items' phrases
+    known = spark.sparkContext.broadcast(common)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, c = held.value, known.value
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                rows = []
+                for docs, windows in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    for w in windows:
+                        for item, first, end, same in passages(p, c, w["words"], w["g"], w["at"]):
+                            rows += [(doc, item, w["first"] + first, w["first"] + end, same) for doc in docs]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "item_id", "first_word", "end_word", "n_same"])
+
+    return seen.where(F.size("windows") > 0).select("docs", "windows").mapInArrow(verify, _FOUND)
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """`doc_id, item_id, first_word, end_word, n_same` of every stretch of a document that holds RUN or more running words of an item.
 
-    return source.mapInArrow(find, "doc_id long, item_id long, first_word int, end_word int, n_same int")
+    The items are a query set that is searched in all documents: each task indexes its texts, copies once, and locates every phrase of the
+    items, whatever its frequency. Runs of phrases long enough to be a passage are aligned with the items, from equal runs of words chained
+    in line. Words compare without case, white space and punctuation; about one in ten may be altered, added or left out. A phrase is
+    common, and counts only within a passage that shares OWN words besides, if many different texts have it without the rest of a passage
+    around it, so neither copies of a text nor any number of leaks of an item make its phrases common.
+
+    The set is read in blocks of about `block` characters, each one pass, so what is broadcast is bounded; a single item is not cut.
+    Nothing but hashes of texts, phrase numbers and words' numbers around passages leaves the pass. Null and empty texts and items shorter
+    than RUN words leak nothing; a repeated document is reported each time; long texts are read whole.
+    """
+    spark = docs.sparkSession
+    source = spread(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    small = items.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("text")).where("item_id is not null and text is not null")
+    size = small.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, -(-size // block))
+    if parts > 1:
+        small = cut(small)
+    out = None
+    for k in range(parts):
+        mine = small if parts == 1 else small.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
+        phrases = Phrases.of([(r[0], r[1]) for r in mine.orderBy("item_id").collect()])
+        if len(phrases.table):
+            found = _leaks_of(source, phrases)
+            found = cut(found) if parts > 1 else found
+            out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], _FOUND)
 
 
 def removal_spans(found: DataFrame) -> DataFrame:

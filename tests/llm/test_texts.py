@@ -132,6 +132,22 @@ def test_copies_and_repetitions_make_no_phrase_common(spark):
     assert sorted({(r.doc_id, r.item_id) for r in found.collect()}) == [(i, 1) for i in [*range(80), 100, 101]]
 
 
+def test_the_most_copied_item_is_found_everywhere(spark):
+    short = " ".join(f"rare{i}" for i in range(24))
+    docs = [(i, f"own{i} {short} end{i}" if i < 120 else f"own{i} text{i} {COMMON} end{i}") for i in range(4000)]
+    items = [(1, short), (2, f"{COMMON} {ITEM}"), (3, COMMON + " " + COMMON.replace("values", "amounts")), (None, short), (4, None)]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in leakage.leaks(d, e).collect()) == [(i, 1) for i in range(120)]
+    assert sorted((r.doc_id, r.item_id) for r in leakage.leaks(d, e, block=100).collect()) == [(i, 1) for i in range(120)]
+
+
+def test_a_passage_may_lose_its_common_sentence(spark):
+    a, b = " ".join(f"u{i}" for i in range(14)), " ".join(f"v{i}" for i in range(14))
+    docs = [(1, f"x {a} {b} y"), (2, f"x {a} {COMMON} {b} y"), (3, f"x {a} y")] + [(10 + i, f"{COMMON} z{i}") for i in range(80)]
+    found = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, f"{a} {COMMON} {b}")], "item_id long, text string"))
+    assert sorted((r.doc_id, r.first_word, r.end_word) for r in found.collect()) == [(1, 1, 29), (2, 1, 39)]
+
+
 def test_every_stretch_of_an_item_leaks(spark):
     long = [f"item{i}" for i in range(100)]
     gap = long[:20] + ["other"] * 8 + long[28:48]
