@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -275,22 +276,22 @@ def seeds(x: list[int], y: list[int], hits: list[tuple[int, int]]) -> list[tuple
     return sorted(out)
 
 
-def chains(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
-    """Runs in line with one another, best chains first, every run in one chain; words between runs cost 2 each, overlaps are trimmed."""
+def chains(runs: list[tuple[int, int, int]], cx: bytearray, cy: bytearray) -> list[list[tuple[int, int, int]]]:
+    """Runs in line with one another, best chains first, every run in one chain; own words between runs cost 2 each, overlaps are trimmed."""
     n = len(runs)
     score, before, trim = [0] * n, [-1] * n, [0] * n
+    px, py = [list(accumulate((1 - c for c in z), initial=0)) for z in (cx, cy)]
     for k, (s, e, q) in enumerate(runs):
         score[k] = e - s
         for i in range(k - 1, -1, -1):
             s1, e1, q1 = runs[i]
-            if s - e1 > score[i]:  # a gap that no chain up to there outweighs, as runs are in order of place
-                if s - s1 > 2 * RUN * RUN:
-                    break
-                continue
-            over = max(0, e1 - s, q1 + e1 - s1 - q)
+            if px[s] - px[s1] > 2 * len(cy):  # runs are in order of place, and no chain scores more than the item's words
+                break
+            f1 = q1 + e1 - s1
+            over = max(0, e1 - s, f1 - q)
             if over >= e - s or s1 == s or q <= q1:
                 continue
-            gap = max(s + over - e1, q + over - q1 - (e1 - s1))
+            gap = max(px[s + over] - px[e1], py[q + over] - py[f1])
             if score[i] > 2 * gap and score[i] + e - s - over - 2 * gap > score[k]:
                 score[k], before[k], trim[k] = score[i] + e - s - over - 2 * gap, i, over
     used, out = [False] * n, []
@@ -380,7 +381,7 @@ def passages(p: Phrases, common: set[int], x: list[int], g: list[int], at: list[
             cx = p.covered(len(x), list(zip(g, at)), common)
         cy = p.covered(len(y), list(zip(p.number[item], range(len(y)))), common)
         found = []
-        for chain in chains(runs):
+        for chain in chains(runs, cx, cy):
             steps = [t for t in steps_of(x, y, chain) if t[2] == 1 or not ((t[0] < len(x) and cx[t[0]]) if t[2] == 2 else cy[t[1]])]
             for k, m in stretches(steps):
                 part = steps[k:m]
