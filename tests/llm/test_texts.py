@@ -202,3 +202,21 @@ def test_a_letter_the_sample_lacks_is_restored(spark):
     df = spark.createDataFrame([*docs, *((i, t, "en") for i, (_, t) in cases.items()), *((i, t, "en") for i, t in good.items())], "doc_id long, text string, lang string")
     got = {r.doc_id: (r.text, r.garbled) for r in mojibake.repair_corpus(df).where("doc_id < 1000").collect()}
     assert got == {i: (t, True) for i, (t, _) in cases.items()} | {i: (t, False) for i, t in good.items()}
+
+
+FOREIGN = [
+    "Zadavatel zajistí údržbu zařízení a služby v přístavu do 5 let, cena £5,000 bez daně.", "Autoritatea contractantă achiziționează servicii de curățenie și întreținere pentru școli.",
+    "Zamawiający udzieli zamówienia na usługi sprzątania; część płatności nastąpi później.", "Az ajánlatkérő épület-karbantartási szolgáltatást rendel, a díj fizetése később történik, űrlap mellékelve.",
+    "İdare, bakım hizmetleri için teklif çağrısı yapmıştır; ödeme süresi değişebilir.", "Upphandlingen avser städtjänster för skolor på Öland, anbud lämnas före lördag.",
+    "El órgano de contratación adjudicó el año pasado la señalización, ¿cuándo se pagó? Más información aquí.", "Naručitelj će sklopiti ugovor o održavanju, što uključuje čišćenje i žbukanje.",
+    "Её заказчик объявил закупку услуг по уборке помещений. Ёлка и подъезд включены.", "Від замовника: Її послуги надаються відповідно до договору; Ґрунт і під’їзд.",
+    "Η αναθέτουσα αρχή προμηθεύεται υπηρεσίες καθαρισμού. Άρθρο 5 όπως ισχύει.", "La città è già più pulita perché l’università pagò però il servizio.",
+    "Kaupandi óskar eftir þjónustu við þrif á skólum, ræsting og viðhald í ágúst.", "采购人购买清洁服务。", "Perkančioji organizacija įsigyja valymo paslaugų, kurių vertė žymiai didesnė šįmet.",
+]
+
+
+def test_correct_text_of_languages_without_a_dictionary_is_left_alone(spark):
+    docs = [(1000 + i, t.format(i=i), lang) for lang, ts in CLEAN.items() for t in ts for i in range(40)]
+    df = spark.createDataFrame([*docs, *((i, t, None) for i, t in enumerate(FOREIGN))], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.text, r.garbled) for r in mojibake.repair_corpus(df).where("doc_id < 1000").collect()}
+    assert got == {i: (t, False) for i, t in enumerate(FOREIGN)}
