@@ -18,8 +18,8 @@ from .orgnames import parse, same_given
 
 #: Edits within which two words are neighbours.
 EDITS = 2
-#: A word that stands beside so many different words is spelt as meant.
-KNOWN = 4
+#: A word beside so many different words, and in this share of the names, says what kind of organisation it is.
+LEARNT, LEARNT_SHARE = 50, 0.01
 
 
 class Trie:
@@ -74,6 +74,30 @@ class Trie:
                 out.append(child) if c == "" else stack.append(child)
         return out
 
+    def beginning(self, prefix: str, most: int = 1) -> list[str]:
+        """Words of which a beginning is within `most` edits of `prefix`."""
+        out: list[str] = []
+        n = len(prefix)
+        stack = [(self.root, "", list(range(n + 1)), None, n <= most)]
+        while stack:
+            node, last, row, before, met = stack.pop()
+            for c, child in node.items():
+                if c == "":
+                    out += [child] if met else []
+                    continue
+                if met:
+                    stack.append((child, c, row, before, True))
+                    continue
+                new = [row[0] + 1]
+                for j in range(1, n + 1):
+                    d = min(row[j - 1] + (prefix[j - 1] != c), row[j] + 1, new[-1] + 1)
+                    if before is not None and j > 1 and prefix[j - 1] == last and prefix[j - 2] == c:
+                        d = min(d, before[j - 2] + 1)
+                    new.append(d)
+                if min(new) <= most:
+                    stack.append((child, c, new, row, new[n] <= most))
+        return out
+
 
 def _hash(*x: object) -> int:
     h = xxhash.xxh3_64_intdigest(repr(x))
@@ -105,19 +129,27 @@ def shards(word: str, index: bool) -> list[int]:
     return sorted(out)
 
 
+def beginnings(word: str, index: bool) -> list[int]:
+    """Shards of a word by pairs of letters at its beginning, or where they may stand in a misspelt beginning of it; one edit or swap leaves one."""
+    at = {0: (0,), 2: (1, 2, 3), 3: (2, 3, 4)}
+    return sorted({_hash("pair", i, word[a : a + 2]) for i, shifts in at.items() for a in ((i,) if index else shifts) if len(word) >= a + 2})
+
+
 def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, index?, query?, cut? → shard, word, role (0 index, 1 query, 2 beginning of a word)."""
+    """word, index?, query?, cut? → shard, word, role (0 index, 1 query, 2 beginning of a word, 3 the same misspelt)."""
     for b in batches:
         for i in range(0, b.num_rows, 2000):
             k, w, r = [], [], []
             for word, index, query, short in zip(*(b.slice(i, 2000).column(j).to_pylist() for j in range(4))):
                 rows = []
                 if index:
-                    rows += [(s, 0) for s in shards(word, True)] + [(_hash("start", word[:3]), 0)]
+                    rows += [(s, 0) for s in shards(word, True)] + [(_hash("start", word[:3]), 0)] + [(x, 0) for x in beginnings(word, True)]
                 if query:
                     rows += [(s, 1) for s in shards(word, False)]
                 if short:
                     rows.append((_hash("start", word[:3]), 2))
+                    if len(word) > 3:
+                        rows += [(x, 3) for x in beginnings(word, False)]
                 k += [s for s, _ in rows]
                 r += [x for _, x in rows]
                 w += [word] * len(rows)
@@ -135,7 +167,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if role == 0:
                 trie.add(word)
                 continue
-            found = trie.near(word) if role == 1 else [(x, 1) for x in trie.starting(word)]
+            found = trie.near(word) if role == 1 else [(x, 1) for x in trie.starting(word)] if role == 2 else [(x, 2) for x in trie.beginning(word)]
             for x, n in found:
                 if x != word:
                     w.append(word)
@@ -145,7 +177,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def trie_join(words: DataFrame) -> DataFrame:
-    """`word, target, edits` from `word, index, query, short`: indexed words within EDITS of the queried ones, or that begin with a short one.
+    """`word, target, edits` from `word, index, query, short`: indexed words within EDITS of the queried ones, or that begin with a short one (of four letters or more: misspelt by one edit).
 
     Words are put into shards by the segments of which near words share one, in place and length up to EDITS; each shard is one trie, so
     near words are found whole and a shard holds only words with one segment in common.
@@ -235,22 +267,39 @@ def _fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(4)), pa.array(ok)], names=["id", "group", "edits", "weight", "ok"])
 
 
+def with_learnt_kinds(parsed: DataFrame) -> DataFrame:
+    """The parsed names with words that the data show to be kinds moved from the own words to the kind, where another own word is left.
+
+    Own words stand beside few others, kinds beside many: those of LEARNT different words and LEARNT_SHARE of the names (so at most a few
+    hundred, whatever the data) are kinds, besides the fixed ones.
+    """
+    total = parsed.count()
+    each = parsed.select("core", F.explode("core").alias("word"))
+    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("names"), F.approx_count_distinct(F.array_join(F.array_except("core", F.array("word")), " ")).alias("beside"))
+    learnt = [r[0] for r in counts.where((F.col("names") >= max(LEARNT, LEARNT_SHARE * total)) & (F.col("beside") >= LEARNT)).select("word").collect()]
+    if not learnt:
+        return parsed
+    kinds = F.array(*map(F.lit, sorted(learnt)))
+    own = F.array_except("core", kinds)
+    move = F.size(own) > 0
+    kind = F.array_join(F.array_sort(F.array_union(F.filter(F.split("kind", " "), lambda x: x != ""), F.array_intersect("core", kinds))), " ")
+    return parsed.select("id", "n", F.when(move, own).otherwise(F.col("core")).alias("core"), F.when(move, F.array_except("cut", kinds)).otherwise(F.col("cut")).alias("cut"), F.when(move, kind).otherwise(F.col("kind")).alias("kind"), "legal", "given")
+
+
 def name_groups(names: DataFrame) -> DataFrame:
     """`id, component` of the names (`id, name, n`) that belong to one organisation.
 
     A name is read as own words, kind, legal form and given name. Names of equal own words (any number, in any order), kind and given name
     are one group. A name that is misspelt, cut off, run together or leaves out its kind is linked to the group that it comes nearest to, of the
-    same kind and given name as far as it tells them, that is met more often; if two kinds come equally near it is linked to neither.
+    same kind and given name as far as it tells them, that is met as often or more often; if two kinds come equally near it is linked to
+    neither. Every word of four letters or more is looked up, whatever its frequency.
     """
-    parsed = cut(parse_names(names))
+    parsed = cut(with_learnt_kinds(cut(parse_names(names))))
     words = parsed.select("id", "n", "core", F.explode("core").alias("word"), F.array_contains("cut", F.col("word")).alias("short"))
-    partner = F.get(F.array_except("core", F.array("word")), 0)
-    w = words.groupBy("word").agg(F.sum("n").alias("n"), F.count_distinct(partner).alias("partners"), F.min("short").alias("always"), F.max("short").alias("short"))
+    w = words.groupBy("word").agg(F.sum("n").alias("n"), F.min("short").alias("always"), F.max("short").alias("short"))
     length = F.length("word")
-    roles = w.select(
-        "word", (~F.col("always") & (length > 3) & ((F.col("n") > 2) | (F.col("partners") > 1))).alias("index"),
-        ((F.col("partners") < KNOWN) & length.between(4, 24) & ~F.col("always")).alias("query"), (F.col("short") & (length > 2)).alias("short"),
-    )
+    whole_word = ~F.col("always") & (length > 3)  # one edit makes a shorter word another one
+    roles = w.select("word", whole_word.alias("index"), whole_word.alias("query"), (F.col("short") & (length > 2)).alias("short"))
     near = trie_join(cut(roles)).join(w.select(F.col("word").alias("target"), F.col("n").alias("tn")), "target").join(w.select("word", "n"), "word")
     near = near.where("tn >= n or edits = 1").groupBy("word").agg(F.collect_list(F.struct("target", "edits")).alias("near"))
     per = words.select("id", "word").join(near, "word").groupBy("id").agg(F.collect_list(F.struct("word", "near")).alias("near"))
@@ -262,7 +311,7 @@ def name_groups(names: DataFrame) -> DataFrame:
     named = parsed.select("id", "kind", "legal", "given", (F.size("core") == 2).alias("pair")).join(own.select("id", "group"), "id", "left").join(groups.select("group", F.col("weight").alias("own")), "group", "left").withColumnRenamed("group", "mine")
     of_two = F.size(F.split("key", " ")) == 2
     g = groups.select("key", "group", of_two.alias("gpair"), F.col("kind").alias("gkind"), F.col("given").alias("ggiven"), "legals", "weight")
-    met = keys.join(g, "key").join(named, "id").where(F.col("mine").isNull() | (F.col("gpair") & ~F.col("pair")) | ((F.col("group") != F.col("mine")) & ((F.col("edits") == 0) | (F.col("weight") > F.col("own")))))
+    met = keys.join(g, "key").join(named, "id").where(F.col("mine").isNull() | (F.col("gpair") & ~F.col("pair")) | ((F.col("group") != F.col("mine")) & ((F.col("edits") == 0) | (F.col("weight") > F.col("own")) | ((F.col("weight") == F.col("own")) & (F.col("group") < F.col("mine"))))))
     met = met.where("gkind <> '' or ggiven <> '' or kind = ''")
     typed = F.when(F.col("kind") == "", 0).otherwise(1)
     met = met.select("id", "group", "edits", "weight", "kind", "gkind", "legal", "legals", "given", "ggiven", typed.alias("typed"))
