@@ -22,8 +22,60 @@ EDITS = 2
 LEARNT, LEARNT_SHARE = 50, 0.01
 
 
+class Automaton:
+    """The Levenshtein automaton of EDITS edits (a swap of neighbours is one) for any word, determinised as far as searches reach.
+
+    A state holds the edits to each place of the queried word within EDITS of the letters read, the same one letter before, and where that
+    letter stands in the word. The next state follows from where the next letter stands and how far the word's end is, so what is worked
+    out for one word serves all others.
+    """
+
+    WIDE = 2 * EDITS + 1
+    FAR = EDITS + 1
+
+    def __init__(self) -> None:
+        first = tuple([self.FAR] * EDITS + list(range(EDITS + 1)))
+        self.rows: list[tuple[int, ...]] = [first]
+        self.least: list[int] = [0]
+        self.states = [(first, (self.FAR,) * self.WIDE, 0)]
+        self.number = {self.states[0]: 0}
+        self.steps: dict[int, int] = {}
+
+    def step(self, state: int, places: int, left: int) -> int:
+        """The state after a letter that stands at `places` (a bit each, EDITS before to EDITS after), `left` letters of the word being left then."""
+        key = state << 16 | places << 8 | left + self.WIDE
+        found = self.steps.get(key)
+        if found is None:
+            row, before, last = self.states[state]
+            new: list[int] = []
+            for k in range(self.WIDE):  # place k - EDITS after the letters read
+                if k - EDITS > left:
+                    new.append(self.FAR)
+                    continue
+                d = row[k] + (not places >> k & 1)
+                if k + 1 < self.WIDE:
+                    d = min(d, row[k + 1] + 1)
+                    if k and last >> (k + 1) & 1 and places >> (k - 1) & 1:
+                        d = min(d, before[k] + 1)
+                if k:
+                    d = min(d, new[-1] + 1)
+                new.append(min(d, self.FAR))
+            s = (tuple(new), row, places)
+            found = self.number.get(s)
+            if found is None:
+                found = self.number[s] = len(self.states)
+                self.states.append(s)
+                self.rows.append(s[0])
+                self.least.append(min(new))
+            self.steps[key] = found
+        return found
+
+
+AUTOMATON = Automaton()
+
+
 class Trie:
-    """Words of a shard, searched by the states a Levenshtein automaton of the query passes through."""
+    """Words of a shard, searched by the states that the Levenshtein automaton of the query passes through."""
 
     def __init__(self) -> None:
         self.root: dict = {}
@@ -34,33 +86,44 @@ class Trie:
             node = node.setdefault(c, {})
         node[""] = word
 
-    def near(self, word: str, most: int = EDITS) -> list[tuple[str, int]]:
-        """Words within `most` edits (a swap of neighbours is one) and how many; a branch ends where no state within the bound is left."""
+    def _walk(self, word: str, most: int, beginning: bool) -> list[tuple[str, int]]:
         out: list[tuple[str, int]] = []
         n = len(word)
-        stack = [(self.root, "", list(range(n + 1)), None)]
+        at: dict[str, int] = {}
+        for i, c in enumerate(word):
+            at[c] = at.get(c, 0) | 1 << (i + EDITS)
+        rows, least, step, steps = AUTOMATON.rows, AUTOMATON.least, AUTOMATON.step, AUTOMATON.steps
+        wide = AUTOMATON.WIDE
+        window = (1 << wide) - 1
+        stack = [(self.root, 0, 0)]
         while stack:
-            node, last, row, before = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if row[n] <= most:
-                        out.append((child, row[n]))
+            node, depth, state = stack.pop()
+            end = n - depth
+            if -EDITS <= end <= EDITS and rows[state][end + EDITS] <= most:
+                if beginning:
+                    out += [(w, most) for w in _below(node)]
                     continue
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    w = word[j - 1]
-                    d = row[j - 1] + (w != c)
-                    if row[j] + 1 < d:
-                        d = row[j] + 1
-                    if new[-1] + 1 < d:
-                        d = new[-1] + 1
-                    if before is not None and j > 1 and w == last and word[j - 2] == c and before[j - 2] + 1 < d:
-                        d = before[j - 2] + 1
-                    new.append(d)
-                if min(new) <= most:
-                    stack.append((child, c, new, row))
+                if "" in node:
+                    out.append((node[""], rows[state][end + EDITS]))
+            left = max(-wide, min(end - 1, EDITS))
+            for c, child in node.items():
+                if c:
+                    places = at.get(c, 0) >> depth & window
+                    new = steps.get(state << 16 | places << 8 | left + wide)
+                    if new is None:
+                        new = step(state, places, left)
+                    if least[new] <= most:
+                        stack.append((child, depth + 1, new))
         return out
 
+    def near(self, word: str, most: int = EDITS) -> list[tuple[str, int]]:
+        """Words within `most` edits (a swap of neighbours is one) and how many; a branch ends where no state within the bound is left."""
+        return self._walk(word, most, False)
+
+    def beginning(self, prefix: str, most: int = 1) -> list[str]:
+        """Words of which a beginning is within `most` edits of `prefix`."""
+        return [w for w, _ in self._walk(prefix, most, True)]
+
     def starting(self, prefix: str) -> list[str]:
         """Words that begin with `prefix`."""
         node = self.root
@@ -68,35 +131,17 @@ class Trie:
             node = node.get(c)
             if node is None:
                 return []
-        out, stack = [], [node]
-        while stack:
-            for c, child in stack.pop().items():
-                out.append(child) if c == "" else stack.append(child)
-        return out
+        return list(_below(node))
 
-    def beginning(self, prefix: str, most: int = 1) -> list[str]:
-        """Words of which a beginning is within `most` edits of `prefix`."""
-        out: list[str] = []
-        n = len(prefix)
-        stack = [(self.root, "", list(range(n + 1)), None, n <= most)]
-        while stack:
-            node, last, row, before, met = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    out += [child] if met else []
-                    continue
-                if met:
-                    stack.append((child, c, row, before, True))
-                    continue
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    d = min(row[j - 1] + (prefix[j - 1] != c), row[j] + 1, new[-1] + 1)
-                    if before is not None and j > 1 and prefix[j - 1] == last and prefix[j - 2] == c:
-                        d = min(d, before[j - 2] + 1)
-                    new.append(d)
-                if min(new) <= most:
-                    stack.append((child, c, new, row, new[n] <= most))
-        return out
+
+def _below(node: dict) -> Iterator[str]:
+    stack = [node]
+    while stack:
+        for c, child in stack.pop().items():
+            if c == "":
+                yield child
+            else:
+                stack.append(child)
 
 
 def _hash(*x: object) -> int:
