@@ -373,8 +373,9 @@ def name_groups(names: DataFrame) -> DataFrame:
 
 def distinct_names(rows: DataFrame, columns: list[str]) -> DataFrame:
     """`id, name, n` of the different strings of the columns, placeholders left out. The id is a 64-bit hash of the name."""
-    every = rows.select(F.explode(F.array(*columns)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    return every.where(~is_stand_in(F.col("name"))).select(F.xxhash64("name").alias("id"), "name", "n")
+    every = rows.select(F.explode(F.array(*columns)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.any_value("name").alias("once"))
+    # Judged once for each string: a filter on the key would be pushed below the aggregation.
+    return every.where(~is_stand_in(F.col("once"))).select(F.xxhash64("name").alias("id"), "name", "n")
 
 
 def variant_pairs(rows: DataFrame, columns: list[str]) -> DataFrame:
