@@ -26,11 +26,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs and affected held-out rows per split, source and kind of overlap."""
+    """Pairs, affected held-out rows and their mean coverage per split, source and kind of overlap."""
     rows = table(spark, d, "qa_rows").select("row_id", F.lower(F.trim("split")).alias("split"), "source")
     held = rows.where(F.col("split").isin(*overlap.HELD_OUT))
-    ends = overlap.overlaps(table(spark, d, "qa_rows")).select("by", F.explode(F.array("row_id_a", "row_id_b")).alias("row_id"))
-    return ends.join(held, "row_id").groupBy("split", "source", "by").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("row_id").alias("n_rows"))
+    ends = overlap.overlaps(table(spark, d, "qa_rows")).select("by", "coverage", F.explode(F.array("row_id_a", "row_id_b")).alias("row_id"))
+    return (
+        ends.join(held, "row_id").groupBy("split", "source", "by")
+        .agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("row_id").alias("n_rows"), F.round(F.avg("coverage"), 4).alias("coverage"))
+    )
+
+
+def p3_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every held-out row that also stands in training: how many training rows ask the same, and how far the nearest one covers its question."""
+    rows = table(spark, d, "qa_rows").select("row_id", F.lower(F.trim("split")).alias("split"))
+    held = rows.where(F.col("split").isin(*overlap.HELD_OUT))
+    pairs = overlap.overlaps(table(spark, d, "qa_rows"))
+    ends = pairs.groupBy("row_id_a", "row_id_b").agg(F.max("coverage").alias("coverage")).select("coverage", F.explode(F.array("row_id_a", "row_id_b")).alias("row_id"))
+    return ends.join(held, "row_id").groupBy("row_id", "split").agg(F.count(F.lit(1)).alias("n_links"), F.round(F.max("coverage"), 4).alias("coverage"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +161,7 @@ _P4 = f"""with recursive d as (select row_id, {_sql_key("plan_id")} as p, {_sql_
   r(row_id, grp) as (select row_id, row_id from d union select e.b, r.grp from r join e on e.a = r.row_id),
   m as (select row_id, min(grp) as group_row_id from r group by row_id)"""
 
-QUERIES = {"p2_found": p2_found, "p2_scored": p2_scored, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_assign": p4_assign, "p4_balance": p4_balance, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_stats": p8_stats, "p9_found": p9_found, "p9_spans": p9_spans, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p2_found": p2_found, "p2_scored": p2_scored, "p3_found": p3_found, "p3_report": p3_report, "p3_rows": p3_rows, "p4_found": p4_found, "p4_assign": p4_assign, "p4_balance": p4_balance, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_stats": p8_stats, "p9_found": p9_found, "p9_spans": p9_spans, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored}
 _P7 = """with w as (select row_id, f, list_filter(list_transform(regexp_split_to_array(lower(t), '\\s+'), lambda x: regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')), lambda x: x <> '') as ws
     from (select row_id, 'n' as f, natural_question as t from qa_bank union all select row_id, 'c', canonical_question from qa_bank)),
   x as (select row_id, f, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) as p from w where len(ws) > 0),

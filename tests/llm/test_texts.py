@@ -58,25 +58,46 @@ PLAN = '{"constraints": [{"field": "y", "op": "eq", "value": 2020}, {"field": "n
 LAID_OUT = '{ "answer_field":"id",\n "answer_operation":"count", "constraints":[{"op":"eq","value":"ab c","field":"n"},{"value":"2020","field":"y","op":"eq"}], "note": 1}'
 
 
+def _asked(n):
+    """Requests of several templates with their plans; every plan in a plain wording and in one with a word that asks nothing."""
+    out = []
+    for i in range(n):
+        name, year = f"Corp{chr(97 + i % 26)}{chr(97 + i // 26)}xq Holdings", 2010 + i % 9
+        what = ("Which suppliers appear on contracts that went to", "How many records were awarded in all to")[i % 2]
+        plan = PLAN.replace("2020", str(year)).replace("Ab  C", name)
+        q = f"{what} {name} and fall in the year {year}?"
+        out += [("train", q, plan), (None, q.replace("appear", "actually appear") if i % 2 == 0 else "Quick question: " + q, plan), (None, q.replace(" that ", " which ") + " Many thanks.", plan)]
+    return out
+
+
 def test_overlaps(spark):
     q = "Which suppliers appear on contracts that went to Alpha Beta Ltd and fall in the year 2022?"
     rows = [
         (1, "train", q, None), (2, "dev", "which suppliers appear on contracts WHICH went to alpha beta ltd & fall in the year 2022", None), (3, "ood", "Quick question: " + q + " Many thanks.", None),
         (4, "final_test", q.replace("2022", "2023"), None), (5, "dev", q.replace("Beta", "Gamma"), None), (6, None, q, None), (7, "train", "x", PLAN), (8, "dev", "y", LAID_OUT), (9, "dev", "z", LAID_OUT[:60]),
         (10, "ood", "", PLAN.replace("count", "sum")), (11, " Train ", q, PLAN), (12, "dev", None, "{}"), (13, "train", None, "{}"), (14, "dev", "  ", " "),
+        (15, "dev", q.replace("contracts", "contrcats"), None), (16, "dev", q.replace("Beta", "Betta"), None), (17, "dev", "Which suppliers appear on contracts that fall in the year 2022 and went to Alpha Beta Ltd?", None),
+        (18, "dev", q.replace("suppliers", "records"), None),
     ]
-    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], QA)
-    got = {(r.row_id_a, r.row_id_b, r.by) for r in overlap.overlaps(df).collect()}
-    assert got == {(1, 2, "question"), (1, 3, "question"), (2, 11, "question"), (3, 11, "question"), (7, 8, "gold_plan"), (8, 11, "gold_plan")}
+    more = [(100 + i, *r) for i, r in enumerate(_asked(60))]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in [*rows, *more]], QA)
+    got = {(r.row_id_a, r.row_id_b, r.by) for r in overlap.overlaps(df).where("row_id_a < 100").collect()}
+    same = {(1, i, "question") for i in (2, 3, 15, 17)} | {(min(i, 11), max(i, 11), "question") for i in (2, 3, 15, 17)}
+    assert got == same | {(7, 8, "gold_plan"), (8, 11, "gold_plan")}
     assert overlap.overlaps(df.limit(0)).count() == 0
 
 
-def test_spelling_and_winnowing():
-    s = overlap.Speller(["supplier", "contracts", "were", "list"])
-    assert [s(w) for w in ("suplier", "contrcats", "2020", "lists", "alpha", "supplier")] == ["supplier", "contracts", "2020", "list", "alpha", "supplier"]
+def test_what_differs_and_winnowing():
+    template = frozenset(["supplier", "contracts", "were", "list", "buyer", "firm", "which"])
+    assert overlap.unmatched("the contrcats of 2020 were alpha".split(), "the contracts of 2021 where alpha".split(), template) == (["2020"], ["2021"], {"contrcats": "contracts", "were": "where"})
+    assert overlap.unmatched(["alpha"], ["alphas"], template)[:2] == (["alpha"], ["alphas"])
+    none = frozenset()
+    assert not overlap.same_order("buyer alpha firm beta".split(), "buyer beta firm alpha".split(), template, none, {})
+    assert overlap.same_order("buyer alpha firm beta which".split(), "firm beta which buyer alpha".split(), template, none, {})
     text = "the quick brown fox jumps over the lazy dog again and again"
     shared = overlap.winnow("prefix " + text).keys() & overlap.winnow(text + " suffix").keys()
     assert shared and overlap.winnow("") == {} and len(overlap.winnow("short")) == 1
+    assert overlap.coverage(text, text) == 1 and overlap.coverage(text, "prefix " + text + " suffix") == 1 and overlap.coverage(text, "nothing of that kind") == 0
 
 
 @pytest.mark.parametrize("seed", range(4))
