@@ -77,7 +77,7 @@ def test_overlaps(spark):
         (4, "final_test", q.replace("2022", "2023"), None), (5, "dev", q.replace("Beta", "Gamma"), None), (6, None, q, None), (7, "train", "x", PLAN), (8, "dev", "y", LAID_OUT), (9, "dev", "z", LAID_OUT[:60]),
         (10, "ood", "", PLAN.replace("count", "sum")), (11, " Train ", q, PLAN), (12, "dev", None, "{}"), (13, "train", None, "{}"), (14, "dev", "  ", " "),
         (15, "dev", q.replace("contracts", "contrcats"), None), (16, "dev", q.replace("Beta", "Betta"), None), (17, "dev", "Which suppliers appear on contracts that fall in the year 2022 and went to Alpha Beta Ltd?", None),
-        (18, "dev", q.replace("suppliers", "records"), None), *((20 + i, None, q.replace("Which", "What"), PLAN.replace("Ab  C", "Alpha Beta Ltd")) for i in range(3)),
+        (18, "dev", q.replace("suppliers", "records"), None), *((20 + i, None, q.replace("Which", w), PLAN.replace("Ab  C", "Alpha Beta Ltd")) for i, w in enumerate(["What", "All", "List"])),
     ]
     more = [(100 + i, *r) for i, r in enumerate(_asked(60))]
     df = spark.createDataFrame([(*r, "clash", 1) for r in [*rows, *more]], QA)
