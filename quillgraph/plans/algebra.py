@@ -87,6 +87,24 @@ NODES = {
 }
 
 
+@dataclass(frozen=True)
+class Form:
+    """What a predicate must be: tests of its attributes, trees it takes, predicates inside it."""
+
+    needs: tuple[tuple[Any, str], ...] = ()
+    takes: tuple[tuple[str, str], ...] = ()
+    inside: Any = lambda p: ()
+
+
+_NAMED = (lambda p: _text(p.get("field")), "pred_needs_field")
+FORMS = {
+    **{op: Form((_NAMED,) if op == "exists" else (_NAMED, (lambda p: "value" in p, "pred_needs_value"))) for op in LEAF_PREDICATES},
+    "not": Form(inside=lambda p: ((".pred", p.get("pred")),)),
+    "any": Form(((lambda p: isinstance(p.get("preds"), list) and len(p["preds"]) > 1, "any_needs_two_preds"),), inside=lambda p: ((f".preds[{i}]", q) for i, q in enumerate(p["preds"]))),
+    "in_expr": Form(((lambda p: _text(p.get("field")), "in_expr_needs_field"),), (("expr", "VALUES"),)),
+}
+
+
 class Checker:
     """Types a tree, counting its nodes."""
 
@@ -120,29 +138,18 @@ class Checker:
     def predicate(self, p: Any, path: str) -> None:
         if not isinstance(p, dict):
             raise AlgebraError("pred_not_object", path)
-        op = p.get("op")
-        if op == "not":
-            return self.predicate(p.get("pred"), f"{path}.pred")
-        if op == "any":
-            if not isinstance(p.get("preds"), list) or len(p["preds"]) < 2:
-                raise AlgebraError("any_needs_two_preds", path)
-            for i, q in enumerate(p["preds"]):
-                self.predicate(q, f"{path}.preds[{i}]")
-            return None
-        if op == "in_expr":
-            if not _text(p.get("field")):
-                raise AlgebraError("in_expr_needs_field", path)
-            got = self.tree(p.get("expr"), f"{path}.expr")
-            if got != "VALUES":
-                raise AlgebraError(f"in_expr_expects_VALUES_got_{got}", path)
-            return None
-        if op not in LEAF_PREDICATES:
-            raise AlgebraError(f"unknown_pred_op:{op}", path)
-        if not _text(p.get("field")):
-            raise AlgebraError("pred_needs_field", path)
-        if op != "exists" and "value" not in p:
-            raise AlgebraError("pred_needs_value", path)
-        return None
+        form = FORMS.get(p["op"]) if isinstance(p.get("op"), str) else None
+        if form is None:
+            raise AlgebraError(f"unknown_pred_op:{p.get('op')}", path)
+        for test, reason in form.needs:
+            if not test(p):
+                raise AlgebraError(reason, path)
+        for side, want in form.takes:
+            got = self.tree(p.get(side), f"{path}.{side}")
+            if got != want:
+                raise AlgebraError(f"{p['op']}_expects_{want}_got_{got}", path)
+        for place, inner in form.inside(p):
+            self.predicate(inner, path + place)
 
 
 def check(tree: Any) -> str:

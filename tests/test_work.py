@@ -7,7 +7,8 @@ from quillgraph.functions.answers import same_answer
 from quillgraph.operators import lookup as L
 from quillgraph.operators import workload as K
 from quillgraph.plans.algebra import check
-from quillgraph.plans.trees import NoTree, asked_k, json_schema, shape, signature, tree_of_plan
+from quillgraph.plans.rules import how_many
+from quillgraph.plans.trees import NoTree, json_schema, shape, signature, tree_of_plan
 
 
 def plan(op, *constraints, **more):
@@ -24,7 +25,7 @@ def test_plans_to_trees():
         (plan("compare", metadata={"template_family": "numeric_threshold", "compare_params": {"threshold": 5}}), "BOOL"),
     ):
         assert check(tree_of_plan(p)) == kind
-    assert tree_of_plan(plan("rank_top_k"), "Which two buyers lead?")["k"] == 2 and asked_k("top 7") == 7 and asked_k("x") is None
+    assert tree_of_plan(plan("rank_top_k"), "Which two buyers lead?")["k"] == 2 and how_many("top 7") == 7 and how_many("x", 4) == 4
     assert tree_of_plan(plan("argmin", metadata={"template_family": "min_max"}))["of"]["where"][0]["op"] == "not"
     for bad in (plan("mean"), plan("count", ("a", "like", 1)), plan("distinct_set"), plan("compare"), plan("count", ("a", "in_subquery", {"resolve": "x"}))):
         with pytest.raises(NoTree):
