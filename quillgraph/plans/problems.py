@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.orphans import Reference, current_orphan_keys, orphan_report, orphans
+from ..operators.orphans import STATE, Reference, apply_deltas, current_orphan_keys, orphan_keys, orphan_report, orphans, signed_counts
 from ..session import table
 
 
@@ -38,6 +38,19 @@ def p1_current(spark: SparkSession, d: str) -> DataFrame:
     return x.select("kind", F.col("k").alias("key"), "n_refs", F.col("existing").cast("long").alias("existing"))
 
 
+#: Instants up to which the maintained ledger takes in its changes, one batch after the other; the last batch is all that follows.
+BATCHES = ("2020-01-01", "2022-07-01", "2024-01-01")
+
+
+def p1_maintained(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that are referred to and do not exist, from a ledger kept up by batches of changes."""
+    refs = graph_references(spark, d)
+    state = spark.createDataFrame([], STATE)
+    for after, upto in zip((None, *BATCHES), (*BATCHES, None)):
+        state = apply_deltas(state, signed_counts(refs, after=after, upto=upto))
+    return orphan_keys(state).select("kind", F.col("k").alias("key"), "n_refs", "existing")
+
+
 _KEY = "nullif(upper(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), '')"
 _REFS = f"""
   refs as (
@@ -55,7 +68,7 @@ _REFS = f"""
   )
 """
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_current": p1_current}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_current": p1_current, "p1_maintained": p1_maintained}
 SQL = {
     "p1_found": f"with {_REFS} select edge_table, edge_row_id, ref_field from judged where not ok",
     "p1_report": f"""with {_REFS} select edge_table, ref_field, strftime(loaded_at at time zone 'UTC', '%Y-%m') as month, count(*) as n_refs, count(*) filter (not ok) as n_orphans
@@ -63,4 +76,7 @@ SQL = {
     "p1_current": f"""with {_REFS}, n as (select kind, k, count(*) as n_refs from r where k is not null group by all),
         x as (select kind, k, sum(case when deleted_at is null then 1 else 0 end) as existing from t where k is not null and loaded_at is not null and (deleted_at is null or deleted_at > loaded_at) group by all)
         select n.kind, n.k as key, n.n_refs, cast(coalesce(x.existing, 0) as bigint) as existing from n left join x on n.kind = x.kind and n.k = x.k where coalesce(x.existing, 0) <= 0""",
+    "p1_maintained": f"""with {_REFS}, n as (select kind, k, count(*) as n_refs from r where k is not null and loaded_at is not null group by all),
+        x as (select kind, k, sum(case when deleted_at is null then 1 else 0 end) as existing from t where k is not null and loaded_at is not null and (deleted_at is null or deleted_at > loaded_at) group by all)
+        select n.kind, n.k as key, n.n_refs, cast(coalesce(x.existing, 0) as bigint) as existing from n left join x on n.kind = x.kind and n.k = x.k where coalesce(x.existing, 0) <= 0""",
 }

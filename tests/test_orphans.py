@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from quillgraph.operators.orphans import Reference, current_orphan_keys, orphan_report, orphans
+from quillgraph.operators.orphans import STATE, Reference, apply_deltas, current_orphan_keys, orphan_keys, orphan_report, orphans, signed_counts
 
 EDGES = "row_id long, ref string, loaded_at timestamp, delta int, k string"
 TARGETS = "key string, loaded_at timestamp, deleted_at timestamp, at timestamp, existing int"
@@ -69,3 +69,25 @@ def test_reports(spark):
     rows = {r.month: (r.n_refs, r.n_orphans) for r in orphan_report(refs(spark, edges, targets)).collect()}
     assert rows == {"2020-01": (2, 0), "2020-02": (1, 1), None: (1, 1)}
     assert {(r.k, r.n_refs) for r in current_orphan_keys(refs(spark, edges, targets)).collect()} == {("B", 2), ("Z", 1)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_the_maintained_ledger_equals_a_recomputation(spark, seed):
+    rng = random.Random(seed)
+    key = lambda: rng.choice(["A-1", "a_1", "B-2", " b2", "C3", "hot", "hot", None, "", "--"])
+    at = lambda: T0 + timedelta(days=rng.randint(0, 90))
+    all_edges = [(i, key(), at()) for i in range(200)]
+    all_targets = [(key(), at(), rng.choice([None, at()])) for _ in range(40)]
+    whole = refs(spark, all_edges, all_targets)
+    want = sorted((r.k, r.n_refs, r.existing) for r in current_orphan_keys(whole).collect())
+    by_time = spark.createDataFrame([], STATE)
+    for after, upto in ((None, "2020-02-01"), ("2020-02-01", "2020-03-01"), ("2020-03-01", None)):
+        by_time = apply_deltas(by_time, signed_counts(whole, after=after, upto=upto))
+    assert sorted((r.k, r.n_refs, r.existing) for r in orphan_keys(by_time).collect()) == want
+    # By batches of rows in any order, one of them wrong and taken back.
+    wrong = signed_counts(refs(spark, [(900, "C3", T0), (901, "nowhere", T0)], [("A-1", T0, None)]))
+    taken = signed_counts(refs(spark, [(900, "C3", T0), (901, "nowhere", T0)], [("A-1", T0, None)]), sign=-1)
+    by_rows = apply_deltas(apply_deltas(spark.createDataFrame([], STATE), wrong), signed_counts(refs(spark, all_edges[100:], all_targets[:20])))
+    by_rows = apply_deltas(apply_deltas(by_rows, signed_counts(refs(spark, all_edges[:100], all_targets[20:]))), taken)
+    assert sorted((r.k, r.n_refs, r.existing) for r in orphan_keys(by_rows).collect()) == want
+    assert by_rows.where("k = 'NOWHERE'").count() == 0 and orphan_keys(spark.createDataFrame([], STATE)).count() == 0
