@@ -16,7 +16,7 @@ from .relational import first_per_key
 
 @dataclass(frozen=True)
 class Block:
-    """A blocking strategy: rows with an equal key are compared; blocks of more than `largest` rows are skipped and reported."""
+    """A blocking strategy: rows with an equal key are compared; of blocks of more than `largest` rows only the similar names."""
 
     name: str
     keys: Column  # a string, or an array of strings
@@ -40,22 +40,61 @@ def block_rows(entities: DataFrame, key: str, blocks: list[Block]) -> DataFrame:
     return reduce(DataFrame.unionAll, out)
 
 
-def block_pairs(entities: DataFrame, key: str, blocks: list[Block]) -> DataFrame:
-    """`a, b, strategies`: pairs of different entities that share a block no larger than its strategy allows; each pair once, with every
-    strategy that found it. Sizes are counted before anything is joined."""
+#: Part of the longer name's characters that names of a Jaro-Winkler similarity of 0.92 share at least, and the least sum of both parts.
+SHARED_PART, SHARED_SUM = 0.6, 1.6
+
+
+def _characters(norm: Column) -> Column:
+    """The characters of a name with their repetitions, in one fixed order from rare to frequent: later repetitions and rarer letters first."""
+    chars = F.filter(F.split(norm, ""), lambda c: c != "")
+    nth = F.transform(chars, lambda c, i: F.concat(F.lpad((99 - F.least(F.lit(99), F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)))).cast("string"), 2, "0"), F.translate(c, "zqjxkvbpgwyfmcuhdlrsnoitae ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ[")))
+    return F.array_sort(nth)
+
+
+def similar_within(rows: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """`block, a, b, norm_a, norm_b, similarity` of the entities (`block, id, norm`) with similar names in a block of any size.
+
+    A name stands once in a block, by its smallest id: other ids of the name are linked to that one, and different names by their smallest
+    ids. Names of a similarity of 0.92 or more share SHARED_PART of the longer one's characters, so they meet in one of the rarest of
+    these; those that do are counted on all characters and then compared. No block is skipped and no pair of different names is lost.
+    """
+    if threshold < 0.92:
+        raise ValueError("the shared characters are worked out for 0.92 and more")
+    names = rows.groupBy("block", "norm").agg(F.min("id").alias("rep"))
+    same = rows.join(names, ["block", "norm"]).where("id <> rep").select("block", F.col("rep").alias("a"), F.col("id").alias("b"), F.col("norm").alias("norm_a"), F.col("norm").alias("norm_b"), F.lit(1.0).alias("similarity"))
+    n = names.withColumn("chars", _characters(F.col("norm"))).withColumn("n", F.size("chars"))
+    keyed = n.withColumn("k", F.explode(F.expr(f"slice(chars, 1, n - cast(ceil({SHARED_PART} * n - 1e-9) as int) + 1)")))
+    x, y = (keyed.select("block", "k", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "norm", "chars", "n")]) for s in ("a", "b"))
+    near = (F.col("rep_a") < F.col("rep_b")) & (F.least("n_a", "n_b") >= SHARED_PART * F.greatest("n_a", "n_b"))
+    shared = F.size(F.array_intersect("chars_a", "chars_b"))
+    met = x.join(y, ["block", "k"]).where(near).where(shared / F.col("n_a") + shared / F.col("n_b") >= SHARED_SUM - 1e-9)
+    met = met.select("block", F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "norm_a", "norm_b").distinct()
+    other = met.withColumn("similarity", F.round(S.jaro_winkler("norm_a", "norm_b"), 4)).where(F.col("similarity") >= threshold)
+    return same.unionByName(other)
+
+
+def block_pairs(entities: DataFrame, key: str, blocks: list[Block], norm: str = "norm") -> DataFrame:
+    """`a, b, strategies`: pairs of different entities that share a block; each pair once, with every strategy that found it.
+
+    All pairs of a block of at most its strategy's size come out; a larger one gives the links of its similar names (`similar_within`).
+    Sizes are counted before anything is joined.
+    """
     rows = block_rows(entities, key, blocks)
     limit = reduce(lambda x, b: F.when(F.col("strategy") == b.name, F.lit(b.largest)).otherwise(x), blocks, F.lit(0))
-    fit = rows.groupBy("strategy", "block").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= limit)).select("strategy", "block")
-    live = rows.join(fit, ["strategy", "block"], "left_semi")
+    sizes = rows.groupBy("strategy", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("fits", F.col("n") <= limit)
+    live = rows.join(sizes.where("fits").select("strategy", "block"), ["strategy", "block"], "left_semi")
     a, b = live.withColumnRenamed("id", "a"), live.withColumnRenamed("id", "b")
-    return a.join(b, ["strategy", "block"]).where("a < b").groupBy("a", "b").agg(F.array_sort(F.collect_set("strategy")).alias("strategies"))
+    small = a.join(b, ["strategy", "block"]).where("a < b").select("a", "b", "strategy")
+    large = rows.join(sizes.where("not fits").select("strategy", "block"), ["strategy", "block"], "left_semi").join(entities.select(F.col(key).alias("id"), F.col(norm).alias("norm")), "id")
+    linked = similar_within(large.select(F.struct("strategy", "block").alias("block"), "id", "norm")).select("a", "b", "block.strategy")
+    return small.unionByName(linked).groupBy("a", "b").agg(F.array_sort(F.collect_set("strategy")).alias("strategies"))
 
 
 def block_metrics(entities: DataFrame, key: str, blocks: list[Block]) -> DataFrame:
-    """`strategy, n_blocks, n_skipped, largest` of the blocks with two or more entities."""
+    """`strategy, n_blocks, n_large, largest` of the blocks with two or more entities."""
     g = block_rows(entities, key, blocks).groupBy("strategy", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     limit = reduce(lambda x, b: F.when(F.col("strategy") == b.name, F.lit(b.largest)).otherwise(x), blocks, F.lit(0))
-    return g.groupBy("strategy").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.col("n") > limit).alias("n_skipped"), F.max("n").alias("largest"))
+    return g.groupBy("strategy").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.col("n") > limit).alias("n_large"), F.max("n").alias("largest"))
 
 
 def rare_tokens(entities: DataFrame, key: str, most: int = 10) -> DataFrame:
@@ -77,13 +116,10 @@ def standard_blocks() -> list[Block]:
     ]
 
 
-def similar_pairs(entities: DataFrame, key: str, name: str, threshold: float = 0.92, largest: int = 50) -> DataFrame:
-    """`a, b, norm_a, norm_b, similarity`: entities whose names begin alike and are Jaro-Winkler similar; larger blocks are skipped."""
-    e = entities.select(F.col(key).alias("id"), S.norm_name(F.col(name)).alias("norm")).where("norm <> ''").withColumn("block", F.substring("norm", 1, 3))
-    fit = e.groupBy("block").count().where(F.col("count").between(2, largest)).select("block")
-    e = e.join(fit, "block", "left_semi")
-    a, b = e.select("block", F.col("id").alias("a"), F.col("norm").alias("norm_a")), e.select("block", F.col("id").alias("b"), F.col("norm").alias("norm_b"))
-    return a.join(b, "block").where("a < b").withColumn("similarity", F.round(S.jaro_winkler("norm_a", "norm_b"), 4)).where(F.col("similarity") >= threshold).drop("block")
+def similar_pairs(entities: DataFrame, key: str, name: str, threshold: float = 0.92) -> DataFrame:
+    """`a, b, norm_a, norm_b, similarity`: entities whose names begin with the same three letters and are Jaro-Winkler similar, by `similar_within`."""
+    e = entities.select(F.col(key).alias("id"), S.norm_name(F.col(name)).alias("norm")).where("norm <> '' and id is not null")
+    return similar_within(e.select(F.substring("norm", 1, 3).alias("block"), "id", "norm"), threshold).drop("block")
 
 
 def pair_features(pairs: DataFrame, entities: DataFrame, key: str) -> DataFrame:

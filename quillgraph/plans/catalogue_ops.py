@@ -186,7 +186,7 @@ def er_name_region_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def er_block_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Register rows whose names begin alike and are similar."""
-    return E.similar_pairs(table(spark, d, "canonical_orgs"), "org_no", "canonical_name", 0.92, 50)
+    return E.similar_pairs(table(spark, d, "canonical_orgs"), "org_no", "canonical_name", 0.92)
 
 
 def er_multi_block(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +196,7 @@ def er_multi_block(spark: SparkSession, d: str) -> DataFrame:
 
 
 def er_block_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks, skipped blocks and the largest block of each strategy."""
+    """Blocks, large blocks and the largest block of each strategy."""
     return E.block_metrics(E.rare_tokens(_register(spark, d), "org_no"), "org_no", E.standard_blocks())
 
 
@@ -507,8 +507,9 @@ SQL = {
     "json_lists": f"select row_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(list_concat([address_region], {_JL.format(c='address_regions')}), lambda r: r is not null and trim(r) <> ''), lambda r: trim(r)))), '|') as regions from org_nodes",
     "er_name_region_merge": f"""with {_NORM_REG}, r as (select org_no, norm, coalesce(upper(trim(region)), '') as rg from reg), g as (select norm, rg, count(*) as n from r where norm <> '' group by 1, 2 having count(*) > 1)
       select r.org_no, case when n is not null then 'NR-' || substr(sha256(r.norm || '|' || r.rg), 1, 12) else r.org_no::varchar end as merged_id, coalesce(n, 1)::bigint as n from r left join g on r.norm = g.norm and r.rg = g.rg""",
-    "er_block_pairs": f"""with {_NORM_REG}, e as (select org_no, norm, substr(norm, 1, 3) as block from reg where norm <> ''), f as (select block from e group by 1 having count(*) between 2 and 50), x as (select * from e where block in (select block from f))
-      select * from (select a.org_no as a, b.org_no as b, a.norm as norm_a, b.norm as norm_b, round(jaro_winkler_similarity(a.norm, b.norm), 4) as similarity from x a join x b on a.block = b.block and a.org_no < b.org_no) where similarity >= 0.92""",
+    "er_block_pairs": f"""with {_NORM_REG}, e as (select org_no as id, norm, substr(norm, 1, 3) as block from reg where norm <> ''), n as (select block, norm, min(id) as rep from e group by 1, 2)
+      select n.rep as a, e.id as b, n.norm as norm_a, n.norm as norm_b, 1.0::double as similarity from e join n using (block, norm) where e.id <> n.rep
+      union all select * from (select x.rep as a, y.rep as b, x.norm as norm_a, y.norm as norm_b, round(jaro_winkler_similarity(x.norm, y.norm), 4) as similarity from n x join n y on x.block = y.block and x.rep < y.rep) where similarity >= 0.92""",
     "er_strategy_share": f"with p as (select list_distinct({_JL.format(c='strategies')}) as s from er_pairs) select strategy, count(*) as n_pairs, count(*) filter (alone) as n_alone from (select unnest(s) as strategy, len(s) = 1 as alone from p) group by 1",
     "er_components": """with recursive e as (select entity_a_id as a, entity_b_id as b from er_pairs where shared_region and shared_cpv2 > 0 union select entity_b_id, entity_a_id from er_pairs where shared_region and shared_cpv2 > 0),
       r(node, c) as (select a, a from e union select e.b, r.c from r join e on e.a = r.node) select node, min(c) as component from r group by 1""",
@@ -540,8 +541,13 @@ SQL = {
       when 'bn' then 1e9 when 'b' then 1e9 when 'billion' then 1e9 else 1 end as amount from (select row_id, lower(trim(string_split(value_amount, chr(10))[1])) as s from runtime_records)""",
     "er_role_alias": f"""with p as (select release_year, obs_id::varchar as raw_id, {_norm("name")} as norm, case when trim(identifier_scheme) <> '' and trim(identifier_id) <> '' then identifier_scheme || '-' || identifier_id end as cid, unnest({_JL.format(c="roles_json")}) as role from party_obs)
       select o.raw_id, min(k.cid) as canonical_id from p o join p k on o.release_year = k.release_year and o.norm = k.norm and o.role = k.role and o.cid is null and k.cid is not null where o.norm <> '' group by 1 having count(distinct k.cid) = 1""",
-    "er_multi_block": f"""with {_BLOCKS} select a.org_no as a, b.org_no as b, array_to_string(list_sort(list(distinct a.strategy)), '|') as strategies from fit a join fit b on a.strategy = b.strategy and a.block = b.block and a.org_no < b.org_no group by 1, 2""",
-    "er_block_metrics": f"""with {_BLOCKS} select strategy, count(*) as n_blocks, count(*) filter (n > largest) as n_skipped, max(n) as largest from (select strategy, block, count(*) as n, any_value(largest) as largest from blocks group by 1, 2) where n > 1 group by 1""",
+    "er_multi_block": f"""with {_BLOCKS}, big as (select b.strategy, b.block, b.org_no, e.norm from (select *, count(*) over (partition by strategy, block) as n from blocks) b join e using (org_no) where b.n > b.largest),
+      rep as (select strategy, block, norm, min(org_no) as rep from big group by all),
+      p as (select a.org_no as a, b.org_no as b, a.strategy from fit a join fit b on a.strategy = b.strategy and a.block = b.block and a.org_no < b.org_no
+        union all select rep, org_no, strategy from big join rep using (strategy, block, norm) where org_no <> rep
+        union all select x.rep, y.rep, x.strategy from rep x join rep y on x.strategy = y.strategy and x.block = y.block and x.rep < y.rep where round(jaro_winkler_similarity(x.norm, y.norm), 4) >= 0.92)
+      select a, b, array_to_string(list_sort(list(distinct strategy)), '|') as strategies from p group by 1, 2""",
+    "er_block_metrics": f"""with {_BLOCKS} select strategy, count(*) as n_blocks, count(*) filter (n > largest) as n_large, max(n) as largest from (select strategy, block, count(*) as n, any_value(largest) as largest from blocks group by 1, 2) where n > 1 group by 1""",
     "url_manifest": """with u as (select *, regexp_replace(trim(url), '#.*$', '') as s from documents where trim(url) <> ''),
       v as (select *, case when starts_with(s, '//') then 'https:' || s when not regexp_matches(s, '^(?i)[a-z][a-z0-9+.-]*://') then 'https://' || s else s end as t from u),
       w as (select *, lower(regexp_extract(t, '^(?i)([a-z][a-z0-9+.-]*://[^/?]*)', 1)) || regexp_replace(regexp_extract(t, '^(?i)[a-z][a-z0-9+.-]*://[^/?]*(.*)$', 1), '/+$', '') as norm_url from v)

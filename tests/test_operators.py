@@ -104,3 +104,33 @@ def test_quality(spark):
     assert [(r.key, r.side) for r in Q.outlier_fence(means, "k", "total", "n").collect()] == [("far", "high")]
     assert Q.outlier_fence(means.limit(3), "k", "total", "n").count() == 0
     assert sorted(r.row for r in Q.determines(spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, None, "z")], "row long, g string, v string"), ["g"], "v").collect()) == [3]
+
+
+def test_large_blocks_keep_every_similar_pair(spark):
+    import random
+
+    from quillgraph.functions.strings import jaro_winkler_of
+    from quillgraph.operators import resolution as E
+
+    rng = random.Random(5)
+    names = []
+    for _ in range(120):
+        base = rng.choice(names)[1] if names and rng.random() < 0.6 else " ".join("".join(rng.choice("abcdeinorst") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(1, 3)))
+        x = list(base)
+        for _ in range(rng.randint(0, 2)):
+            x[rng.randrange(len(x))] = rng.choice("abcdeinorstz ")
+        names.append((len(names), " ".join("".join(x).split()) or "a"))
+    rows = spark.createDataFrame([("hot", i, n) for i, n in names], "block string, id long, norm string")
+    got = {(r.a, r.b): r.similarity for r in E.similar_within(rows).collect()}
+    low = {}
+    for i, n in names:
+        low.setdefault(n, i)
+    want = {(low[n], i): 1.0 for i, n in names if low[n] != i}
+    reps = sorted((i, n) for n, i in low.items())
+    want |= {(i, j): round(s, 4) for i, n in reps for j, m in reps if i < j and round(s := jaro_winkler_of(n, m), 4) >= 0.92}
+    assert got == want and len(want) > 20
+    d = E.entity_columns(spark.createDataFrame([(i, n, "UKI") for i, n in names], "id long, name string, address_region string"), "id", "name")
+    blocks = [E.Block("all", F.lit("x"), 10), E.Block("name", F.col("norm"), 10)]
+    pairs = {(r.a, r.b) for r in E.block_pairs(d, "id", blocks).collect()}
+    assert set(want) <= pairs
+    assert E.block_pairs(d.limit(0), "id", blocks).count() == 0
