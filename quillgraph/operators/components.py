@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .skew import heavy_keys
 
 #: Edges one task holds at once (about 40 bytes each while it works).
 CHUNK = 2_000_000
@@ -45,28 +46,30 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(roots[i : i + 100_000])], names=["node", "root"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", chunk: int = CHUNK, _parts: int | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", chunk: int = CHUNK, _level: int = 0) -> DataFrame:
     """`node long, component long` for every node of the edges; the component is its smallest node.
 
     Each task builds the forest of its own edges, so a hub is at most one row per task afterwards. Roots that share a node are linked and
-    these links, fewer each time, are merged the same way over a quarter of the tasks, until one task holds all that are left. Labels are
-    joined back level by level. Nulls and self-links: a null endpoint is no link; a self-link makes a component of one node. An empty
-    input gives an empty result. Repeated and reversed edges change nothing.
+    these links, fewer each time, are merged the same way; each level takes as many tasks as its own links need, until one task holds all
+    that are left. Links of a node to smaller ones meet in one task, but for hubs, whose links are spread; every other level they meet at
+    their smaller ends, so links that one way leaves apart the other brings together. Labels are joined back level by level. Nulls and
+    self-links: a null endpoint is no link; a self-link makes a component of one node. An empty input gives an empty result. Repeated and
+    reversed edges change nothing.
     """
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    if _parts is None:
+    if not _level:
         e = cut(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    n = e.count()
-    need = -(-n // chunk)
-    parts = max(1, min(need, _parts) if _parts else need)
-    # Keyed by the larger end: all links of a node to smaller nodes meet in one task.
-    local = e.repartition(parts, "b").mapInArrow(_local, "node long, root long")
+    parts = max(1, -(-e.count() // chunk))
+    near, far = ("b", "a") if _level % 2 == 0 else ("a", "b")
+    hubs = heavy_keys(e, near, share=1 / 32, least=chunk // 4) if parts > 1 else []
+    salt = F.when(F.col(near).isin(*hubs), F.pmod(F.xxhash64(far), F.lit(parts))).otherwise(F.lit(0)) if hubs else F.lit(0)
+    local = e.repartition(parts, F.col(near), salt).mapInArrow(_local, "node long, root long")
     if parts == 1:
         return local.select("node", F.col("root").alias("component"))
     local = cut(local)
     least = local.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("k"))
-    several = least.where("k > 1").select("node", "low")
+    several = least.where("low <> high").select("node", "low")
     links = local.join(several, "node").where("root <> low").select(F.col("low").alias("a"), F.col("root").alias("b")).distinct()
-    upper = connected_components(cut(links), chunk=chunk, _parts=max(1, parts // 4))
+    upper = connected_components(cut(links), chunk=chunk, _level=_level + 1)
     up = upper.select(F.col("node").alias("low"), "component")
     return least.select("node", "low").join(up, "low", "left").select("node", F.coalesce("component", "low").alias("component"))

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
-from ..session import spread
+from ..session import cut, spread
 
 # Headings at which a clause begins.
 HEADINGS = [
@@ -107,15 +107,16 @@ def tf_idf_top(docs: DataFrame, queries: DataFrame, k: int = 5, key: str = "doc_
     Only terms that a query has are kept, so the posting lists that are joined follow the queries; weights come from all documents.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[0-9a-z_]+"), F.lit(0))
-    tf = docs.select(F.col(key).alias("doc_id"), F.explode(words(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut(docs.select(F.col(key).alias("doc_id"), F.explode(words(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
     n = docs.count()
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.select("term", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    w = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")).join(idf, "term").withColumn("qw", F.col("qtf") * F.col("idf"))
+    idf = cut(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf")))
+    asked = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    q = cut(asked.join(idf, "term").withColumn("qw", F.col("qtf") * F.col("idf")))
     qnorm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dot = w.join(q.select("query_id", "term", "qw"), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    # Postings of the queries' terms first; the norm is only needed of the documents that have one.
+    dot = tf.join(q.select("query_id", "term", "idf", "qw"), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot"))
+    w = tf.join(dot.select("doc_id").distinct(), "doc_id", "left_semi").join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     s = dot.join(norm, "doc_id").join(qnorm, "query_id").select("query_id", "doc_id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
     return s.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
 
@@ -139,3 +140,26 @@ def url_manifest(docs: DataFrame) -> DataFrame:
         F.min("date_published").alias("first_published"), F.max("date_published").alias("last_published"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"),
         F.array_join(F.array_sort(F.collect_set("document_type")), "|").alias("document_types"), F.min("ocid").alias("example_ocid"),
     ).drop("norm_url")
+
+
+def known_only(docs: DataFrame, known: DataFrame, key: str = "ocid") -> DataFrame:
+    """The documents (or chunks) of processes that `known` has; a null key is not known."""
+    return docs.join(known.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
+
+
+def _list(c: str, most: int | None = None) -> Column:
+    """The distinct non-blank values of a group, sorted, as one text; at most the first `most` where that is the feature."""
+    x = F.array_sort(F.collect_set(F.when(F.trim(F.col(c).cast("string")) != "", F.col(c).cast("string"))))
+    return F.array_join(F.slice(x, 1, most) if most else x, "|")
+
+
+def full_manifest(docs: DataFrame, processes: DataFrame) -> DataFrame:
+    """One row per normalised URL with seventeen facts about the documents that name it and their processes (`ocid, year, buyer_name`, one row
+    an ocid). Documents of unknown processes have no year or buyer. Samples (ten processes and buyers, three texts' beginnings) are samples."""
+    d = docs.withColumn("norm_url", S.normalise_url(F.col("url"))).where("norm_url is not null").join(processes, "ocid", "left")
+    return d.groupBy("norm_url").agg(
+        F.substring(F.sha2("norm_url", 256), 1, 16).alias("url_hash"), _list("source").alias("source_group"), _list("document_type").alias("document_types"), _list("field_path").alias("field_paths"),
+        _list("lang").alias("langs"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), _list("year").alias("years"), F.count_distinct("ocid").alias("n_ocids"), F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("doc_id").alias("n_docs"), F.min(F.when(F.trim("buyer_name") != "", F.col("buyer_name"))).alias("first_buyer"), _list("buyer_name", 10).alias("buyers"), _list("ocid", 10).alias("sample_ocids"),
+        _list("lot_id", 10).alias("lots"), F.min("date_published").alias("first_published"), F.max("date_published").alias("last_published"),
+    ).drop("norm_url")

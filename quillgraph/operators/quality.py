@@ -34,6 +34,18 @@ def outlier_fence(df: DataFrame, key: str, total: str, n: str, times: float = 1.
     return out.withColumn("side", side).where("side is not null")
 
 
+def contributors(df: DataFrame, by: list[str], value: Column, nominal: float = 1.0, dominant: float = 0.9) -> DataFrame:
+    """Per group of `by` what stands behind a sum, in one aggregation: `n_values, largest, total, share, nominal_only, dominated`.
+
+    Nulls contribute nothing. `nominal_only`: no value exceeds `nominal` (placeholders); `dominated`: one of several values is at least
+    `dominant` of the total. A total of zero is divided as one; a group without values is neither.
+    """
+    g = df.withColumn("__v", value.cast("decimal(38,6)")).groupBy(*by).agg(F.count("__v").alias("n_values"), F.max("__v").cast("double").alias("largest"), F.sum("__v").cast("double").alias("total"))
+    n, largest, total = F.col("n_values"), F.col("largest"), F.col("total")
+    share = F.round(F.abs(largest) / F.when(total == 0, F.lit(1.0)).otherwise(F.abs(total)), 4)
+    return g.withColumns({"share": share, "nominal_only": F.coalesce(largest <= nominal, F.lit(False)), "dominated": F.coalesce((n > 1) & (share >= dominant), F.lit(False))})
+
+
 def determines(df: DataFrame, anchors: list[str], answer: str) -> DataFrame:
     """Rows whose anchors determine the answer: the rows of groups with exactly one distinct answer."""
     one = df.groupBy(*anchors).agg(F.count_distinct(answer).alias("__n")).where("__n = 1").select(*anchors)

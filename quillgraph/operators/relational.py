@@ -135,6 +135,22 @@ def apportion(weights: dict[str, float], total: int) -> dict[str, int]:
     return out
 
 
+def apportion_within(weights: dict[str, float], room: dict[str, int], total: int) -> dict[str, int]:
+    """`apportion` where a name takes at most its room; what does not fit is shared out again among those with room left."""
+    out = dict.fromkeys(weights, 0)
+    while total > 0:
+        free = {k: w for k, w in weights.items() if out[k] < room.get(k, 0) and w > 0}
+        if not free:
+            break
+        given = {k: min(n, room[k] - out[k]) for k, n in apportion(free, total).items()}
+        if not any(given.values()):
+            break
+        for k, n in given.items():
+            out[k] += n
+            total -= n
+    return out
+
+
 def mcnemar_p(b: int, c: int) -> float:
     """Exact two-sided p of b against c discordant pairs."""
     from math import comb

@@ -250,3 +250,53 @@ def org_metadata(obs: DataFrame, key: str) -> DataFrame:
     buyer, supplier = F.array_contains("roles", "buyer"), F.array_contains("roles", "supplier")
     kind = F.when(buyer & supplier, "both").when(buyer, "buyer").when(supplier, "supplier").otherwise("unknown")
     return g.select(key, "canonical_name", kind.alias("org_type"), "regions", F.size("raw_ids").alias("n_aliases"))
+
+
+# --- phases -----------------------------------------------------------------------------------------------------------------------------
+
+
+def phase_one(parties: DataFrame) -> DataFrame:
+    """`raw_id, canonical_id, status` of every raw id of the observed parties (`ocid, raw_id, norm, roles, scheme, value`).
+
+    First by identifier: an observation with a scheme and a value names `scheme-value`; of several the most trusted registry's, then the
+    smaller (`deterministic`). Else by the one resolved party of the same notice, name and role (`role_alias`). Else the raw id stands for
+    itself (`singleton`). Blank raw ids are none; each raw id comes out once.
+    """
+    p = parties.where(F.trim("raw_id") != "")
+    named = (F.trim("scheme") != "") & (F.trim("value") != "")
+    ids = p.where(named).select("raw_id", F.upper(F.trim("scheme")).alias("scheme"), F.concat_ws("-", F.upper(F.trim("scheme")), F.upper(F.trim("value"))).alias("canonical_id")).distinct()
+    own = best_scheme(ids).select("raw_id", "canonical_id")
+    alias = role_alias(p.join(own, "raw_id", "left").select("ocid", "raw_id", "norm", "roles", "canonical_id").where("norm <> ''"))
+    every = p.select("raw_id").distinct().join(own, "raw_id", "left").join(alias.withColumnRenamed("canonical_id", "by_role"), "raw_id", "left")
+    status = F.when(F.col("canonical_id").isNotNull(), "deterministic").when(F.col("by_role").isNotNull(), "role_alias").otherwise("singleton")
+    return every.select("raw_id", F.coalesce("canonical_id", "by_role", "raw_id").alias("canonical_id"), status.alias("status"))
+
+
+def consolidate(orgs: DataFrame, key: Column, status: Column, ranks: list[str], row: str = "row_id") -> DataFrame:
+    """`key, row_id, status, n_rows`: organisation rows of one key as one, the row of the most trusted status (then the smallest id) standing
+    for it. Statuses outside `ranks` are least trusted; rows without key are left out. One aggregation."""
+    rank = reduce(lambda x, i: F.when(F.col("__s") == ranks[i], i).otherwise(x), reversed(range(len(ranks))), F.lit(len(ranks)))
+    d = orgs.select(key.alias("key"), F.col(row).alias("row_id"), F.lower(F.trim(status)).alias("__s")).where("key is not null")
+    g = d.withColumn("__rank", rank).groupBy("key").agg(F.min(F.struct("__rank", "row_id", "__s")).alias("b"), F.count(F.lit(1)).alias("n_rows"))
+    return g.select("key", "b.row_id", F.col("b.__s").alias("status"), "n_rows")
+
+
+def remap_audited(aliases: DataFrame, mapping: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:
+    """(aliases `raw_id, canonical_id` with merged ids replaced, audit log `raw_id, old_id, new_id, reason` of those that changed).
+
+    `mapping` is `old_id, new_id`; chains of it are followed to their end, cycles to their smallest id.
+    """
+    ends = clusters(mapping.where("old_id <> new_id"), "old_id", "new_id")
+    targets = mapping.where("old_id <> new_id").select(F.col("new_id").alias("node")).distinct().join(mapping.where("old_id <> new_id").select(F.col("old_id").alias("node")), "node", "left_anti")
+    final = ends.join(targets.withColumn("__end", F.col("node")), "node", "left").groupBy("component").agg(F.coalesce(F.min("__end"), F.min("node")).alias("new_id"))
+    m = ends.join(final, "component").select(F.col("node").alias("old_id"), "new_id")
+    d = aliases.select("raw_id", F.col("canonical_id").alias("old_id")).join(m, "old_id", "left").select("raw_id", "old_id", F.coalesce("new_id", "old_id").alias("new_id"))
+    return d.select("raw_id", F.col("new_id").alias("canonical_id")), d.where("old_id <> new_id").withColumn("reason", F.lit(reason))
+
+
+def register_metrics(orgs: DataFrame, key: str, status: str, aliases: str) -> DataFrame:
+    """One row on a register: `n_rows, n_duplicate_keys, n_singletons, singleton_rate, n_merged, mean_aliases, max_aliases`."""
+    per = orgs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lower(F.trim(status)) == "singleton").alias("s"), F.count_if(F.col(aliases) > 1).alias("m"), F.sum(aliases).alias("a"), F.max(aliases).alias("x"))
+    g = per.agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") - 1).alias("n_duplicate_keys"), F.sum("s").alias("n_singletons"), F.sum("m").alias("n_merged"), F.sum("a").alias("a"), F.max("x").alias("max_aliases"))
+    rate = lambda c: F.round(F.try_divide(F.col(c).cast("double"), F.col("n_rows")), 6)
+    return g.select("n_rows", "n_duplicate_keys", "n_singletons", rate("n_singletons").alias("singleton_rate"), "n_merged", rate("a").alias("mean_aliases"), "max_aliases")

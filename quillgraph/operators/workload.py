@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
+from ..session import cut
 from .relational import hash_order, round_robin
 
 
@@ -62,10 +63,19 @@ def trigram_similar(a: DataFrame, b: DataFrame, block: str, text: str, key: str,
     return j.where(F.col("jaccard") >= least).select("a", "b", "jaccard")
 
 
-def cut_at_total(groups: DataFrame, order: list, size: str, target: int) -> DataFrame:
-    """Groups in their order until their sizes reach the target; the one that reaches it is the last."""
-    before = F.coalesce(F.sum(size).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return groups.withColumn("__before", before).where(F.col("__before") < target).drop("__before")
+def cut_at_total(groups: DataFrame, order: list, size: str, target: int, buckets: int = 64) -> DataFrame:
+    """Groups in their order until their sizes reach the target; the one that reaches it is the last.
+
+    Groups are cut into ranges of their order by Spark's range partitioning; sizes before a range are sums of whole ranges, so no task
+    sees all groups.
+    """
+    ranges = groups.repartitionByRange(buckets, *order).withColumn("__p", F.spark_partition_id())
+    ranges = cut(ranges)
+    sums = ranges.groupBy("__p").agg(F.sum(size).alias("__s"))
+    starts = sums.select("__p", F.coalesce(F.sum("__s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))  # at most `buckets` rows
+    inside = F.coalesce(F.sum(size).over(W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    d = ranges.withColumn("__in", inside).join(F.broadcast(starts), "__p")
+    return d.where(F.col("__start") + F.col("__in") < target).drop("__p", "__in", "__start")
 
 
 def top_up(have: DataFrame, pool: DataFrame, key: str, target: int, order: list) -> DataFrame:
@@ -113,3 +123,31 @@ def adjudicated(decisions: DataFrame, least: float = 0.9) -> DataFrame:
     barred = F.exists(F.coalesce("risk_flags", F.array().cast("array<string>")), lambda f: f.isin("official_scheme_conflict", "trusted_id_conflict"))
     gate = F.when(~valid, "invalid").when((F.col("decision") == "merge") & (F.col("confidence") >= least) & ~barred, "merge").when(F.col("decision") == "reject", "reject").otherwise("review")
     return decisions.withColumn("valid", valid).withColumn("gate", gate)
+
+
+def without_fields(rows: DataFrame, fields: DataFrame, hidden: list[str], key: str) -> DataFrame:
+    """`rows` less those of which a constraint names a hidden field, with `reason` null; the dropped ones come with the reason.
+
+    `fields` is `key, field`, one row a constraint. A row without constraints stays.
+    """
+    bad = fields.where(F.col("field").isin(*hidden)).groupBy(key).agg(F.concat(F.lit("hidden:"), F.array_join(F.array_sort(F.collect_set("field")), ",")).alias("reason"))
+    return rows.join(bad, key, "left")
+
+
+def boundary_ties(counts: DataFrame, group: str, name: str, n: str, k: int) -> DataFrame:
+    """`group, n, n_tied, n_places`: groups whose top k would depend on the order of rows: more names share the k-th count than places are left."""
+    w = W.partitionBy(group).orderBy(F.desc(n))
+    d = counts.withColumn("__rank", F.rank().over(w))
+    per = d.groupBy(group, F.col(n).alias("n"), "__rank").agg(F.count(F.lit(1)).alias("n_tied"))
+    return per.where((F.col("__rank") <= k) & (F.col("__rank") + F.col("n_tied") - 1 > k)).select(group, "n", "n_tied", (F.lit(k + 1) - F.col("__rank")).cast("long").alias("n_places"))
+
+
+def whole_splits(rows: DataFrame, key: str, split: str, order: list[str]) -> DataFrame:
+    """`rows` with `new_split`: rows of one key all stand in the split that holds most of them (ties: the first of `order`).
+
+    Rows without key or split keep what they have; splits outside `order` come last.
+    """
+    place = reduce(lambda x, i: F.when(F.col(split) == order[i], i).otherwise(x), range(len(order)), F.lit(len(order)))
+    held = rows.where(F.col(key).isNotNull() & (F.trim(split) != "")).groupBy(key, split).agg(F.count(F.lit(1)).alias("__n")).withColumn("__place", place)
+    home = held.groupBy(key).agg(F.min_by(split, F.struct(-F.col("__n"), F.col("__place"), F.col(split))).alias("__home"))
+    return rows.join(home, key, "left").withColumn("new_split", F.when(F.trim(split) != "", F.coalesce("__home", split)).otherwise(F.col(split))).drop("__home")

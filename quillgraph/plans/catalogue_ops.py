@@ -229,10 +229,10 @@ def er_merge_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def er_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Components of pairs that hold two ids of one official registry."""
+    """Components of pairs that hold two ids of one official registry, or a pair with conflicting registries."""
     ids = table(spark, d, "canonical_orgs").where(S.is_official(F.col("official_scheme"))).select(F.col("org_no").alias("node"), F.col("official_scheme").alias("scheme"), F.col("official_id").alias("value"))
-    none = table(spark, d, "er_pairs").where("false").select(F.col("entity_a_id").alias("a"), F.col("entity_b_id").alias("b"))
-    return E.merge_conflicts(er_components(spark, d), ids, none)
+    rejected = table(spark, d, "er_pairs").where("official_scheme_conflict").select(F.col("entity_a_id").alias("a"), F.col("entity_b_id").alias("b"))
+    return E.merge_conflicts(er_components(spark, d), ids, rejected)
 
 
 def er_registry_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -284,7 +284,7 @@ def doc_rank_whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_tf_idf(spark: SparkSession, d: str) -> DataFrame:
-    """The five documents nearest to each of the first-asked questions of the bank by TF-IDF cosine."""
+    """The five documents nearest to each of three questions by TF-IDF cosine."""
     q = spark.createDataFrame([(1, "insurance for each claim"), (2, "payment within days of a valid invoice"), (3, "street lighting award")], "query_id int, query string")
     return D.tf_idf_top(table(spark, d, "documents"), q, 5)
 
@@ -517,7 +517,8 @@ SQL = {
       select org_no as old_id, first_value(org_no) over (partition by norm, rg order by case er_status when 'deterministic' then 0 when 'gov_lookup' then 1 else 2 end, -n_aliases, org_no) as new_id from r where n > 1""",
     "er_conflicts": f"""with recursive e as (select entity_a_id as a, entity_b_id as b from er_pairs where shared_region and shared_cpv2 > 0 union select entity_b_id, entity_a_id from er_pairs where shared_region and shared_cpv2 > 0),
       r(node, c) as (select a, a from e union select e.b, r.c from r join e on e.a = r.node), m as (select node, min(c) as component from r group by 1)
-      select distinct component, 'two_official_ids' as reason from m join canonical_orgs o on o.org_no = m.node where upper(trim(official_scheme)) in ({_OFFICIAL}) group by component, official_scheme having count(distinct official_id) > 1""",
+      select distinct component, 'two_official_ids' as reason from m join canonical_orgs o on o.org_no = m.node where upper(trim(official_scheme)) in ({_OFFICIAL}) group by component, official_scheme having count(distinct official_id) > 1
+      union select distinct x.component, 'rejected_pair' from er_pairs p join m x on p.entity_a_id = x.node join m y on p.entity_b_id = y.node where p.official_scheme_conflict and x.component = y.component""",
     "er_registry_lookup": f"""with {_NORM_REG}, h as (select norm, min(canonical_id) as id from reg where org_category = 'health' and norm <> '' group by 1), d as (select norm, min(canonical_id) as id from reg where org_category = 'education' and norm <> '' group by 1),
       o as (select obs_id, {_norm("name")} as norm from party_obs) select obs_id, case when h.id is not null then 'health' else 'education' end as registry, coalesce(h.id, d.id) as registry_id from o left join h using (norm) left join d using (norm) where coalesce(h.id, d.id) is not null""",
     "doc_token_jaccard": f"""with q as (select row_id, {_trigrams("natural_question")} as x, {_trigrams("question")} as y from qa_bank) select row_id, round(coalesce(len(list_intersect(x, y)) / nullif(len(list_distinct(list_concat(x, y))), 0), 0)::double, 6) as jaccard from q""",

@@ -41,6 +41,20 @@ def read_releases(spark: SparkSession, path: str | list[str], years: list[int] |
     return raw.where(F.col("_bad").isNull() & (F.trim("ocid") != "") & (F.trim("date") != "")).drop("_bad")
 
 
+def parse_lines(lines: DataFrame, value: str = "value", file: str = "source_file") -> DataFrame:
+    """Releases of a column of JSON texts, by the rules of `read_releases`: blank and malformed ones, and those without ocid or date, are left out."""
+    schema = T.StructType.fromDDL(RELEASE).add("_bad", T.StringType())
+    r = lines.where(F.trim(value) != "").select(F.from_json(value, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), F.col(file).alias("source_file")).select("r.*", "source_file")
+    return r.where(F.col("_bad").isNull() & (F.trim("ocid") != "") & (F.trim("date") != "")).drop("_bad")
+
+
+def aligned_snapshot(releases: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The raw releases that were chosen (`ocid, id`), one per process: of several copies the first by file."""
+    rest = [c for c in releases.columns if c not in ("ocid", "id")]
+    d = releases.join(chosen.select("ocid", "id").distinct(), ["ocid", "id"], "left_semi")
+    return d.groupBy("ocid").agg(F.min_by(F.struct("id", *rest), F.struct("source_file", "date")).alias("r")).select("ocid", "r.*")
+
+
 def latest_releases(releases: DataFrame) -> DataFrame:
     """One release per ocid, of the greatest date (ties: the first file, then the smaller id), with `source_years`, the files it stood in.
 

@@ -26,14 +26,20 @@ def header_names(raw: list[str]) -> list[str]:
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as text, with `row_no` in file order. A file whose rows differ in width is refused; \\n in a cell is a line break."""
+    """All cells as text, with `row_no` in file order. A file whose rows differ in width is refused; \\n in a cell is a line break and \\\\ a backslash."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("no", "line")).where("line <> ''")
     cells = lines.select("no", F.split("line", "\t", -1).alias("c"))
     widths = [r[0] for r in cells.select(F.size("c")).distinct().limit(2).collect()]
     if len(widths) != 1:
         raise ValueError(f"rows of different width: {sorted(widths)}")
     names = header_names(cells.where("no = 0").first()["c"])
-    cell = lambda i: F.replace(F.trim(F.col("c")[i]), F.lit("\\n"), F.lit("\n"))
+    # An escaped backslash first becomes a sign that no text has, so that what follows it is not read as an escape.
+    def cell(i: int) -> Column:
+        out = F.trim(F.col("c")[i])
+        for sign, means in (("\\\\", "\ue000"), ("\\n", "\n"), ("\ue000", "\\")):
+            out = F.replace(out, F.lit(sign), F.lit(means))
+        return out
+
     return cells.where("no > 0").select((F.col("no") - 1).alias("row_no"), *[cell(i).alias(n) for i, n in enumerate(names)])
 
 

@@ -24,30 +24,47 @@ def windowed_counts(events: DataFrame, time: str, by: list[str], width: str = "1
     return w.select(F.col("window.start").alias("start"), *by, "n")
 
 
+BUCKETS = 32
+
+
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 def keep_latest(events: DataFrame, key: str, order: str, target: str, checkpoint: str):
-    """Keeps the latest row per key in Parquet at `target`, micro-batch by micro-batch: the batch and the table are merged by one aggregation
-    and written to a folder of the batch's number; `latest_table` reads the newest. A batch that is run again writes the same folder again."""
+    """Keeps the latest row per key in Parquet at `target`, micro-batch by micro-batch.
+
+    Keys are hashed into BUCKETS; a batch reads and writes only the buckets it touches, merged by one aggregation, as `v=<batch>/b=<bucket>`;
+    `latest_table` reads the newest version of each bucket. A batch that is run again writes the same folders again. Null keys are left out.
+    """
     rest = [c for c in events.columns if c != key]
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = latest_table(spark, target, number)
+        touched = {r[0] for r in batch.where(F.col(key).isNotNull()).select(_bucket(key)).distinct().collect()}  # at most BUCKETS
+        old = latest_table(spark, target, number, touched)
         both = batch if old is None else old.unionByName(batch)
         new = both.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, F.xxhash64(*rest))).alias("r")).select(key, "r.*")
-        new.write.mode("overwrite").parquet(f"{target}/v={number:010d}")
+        new.withColumn("b", _bucket(key)).repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{target}/v={number:010d}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def latest_table(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
-    """The newest version at `target` (older than batch `below`); None if there is none."""
+def latest_table(spark: SparkSession, target: str, below: int | None = None, buckets: set[int] | None = None) -> DataFrame | None:
+    """The newest version of each bucket at `target` (of batches before `below`, of `buckets` only); None if there is none."""
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path))
-    names = [n for n in names if n.startswith("v=") and (below is None or int(n[2:]) < below)]
-    return spark.read.parquet(f"{target}/{names[-1]}") if names else None
+    versions = sorted((s.getPath().getName() for s in fs.listStatus(path)), reverse=True)
+    found: dict[int, str] = {}
+    for v in versions:
+        if v.startswith("v=") and (below is None or int(v[2:]) < below):
+            for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{v}")):
+                name = s.getPath().getName()
+                if name.startswith("b=") and (buckets is None or int(name[2:]) in buckets):
+                    found.setdefault(int(name[2:]), f"{target}/{v}/{name}")
+    return spark.read.parquet(*sorted(found.values())) if found else None
 
 
 def run_once(query, spark: SparkSession) -> None:

@@ -134,3 +134,34 @@ def test_large_blocks_keep_every_similar_pair(spark):
     pairs = {(r.a, r.b) for r in E.block_pairs(d, "id", blocks).collect()}
     assert set(want) <= pairs
     assert E.block_pairs(d.limit(0), "id", blocks).count() == 0
+
+
+def test_phases_of_resolution(spark):
+    from quillgraph.operators import resolution as E
+
+    p = [
+        ("n1", "r1", "ALPHA", ["buyer"], "GB-COH", "7"), ("n1", "r2", "ALPHA", ["buyer"], "", ""), ("n2", "r3", "ALPHA", ["buyer"], None, None), ("n1", "r1", "ALPHA", ["buyer"], "XX", "9"),
+        ("n3", "r4", "BETA", ["supplier"], "GB-COH", "1"), ("n3", "r5", "BETA", ["supplier"], "GB-COH", "2"), ("n3", "r6", "BETA", ["supplier"], None, "3"), ("n3", " ", "BETA", ["supplier"], None, None),
+    ]
+    got = {r.raw_id: (r.canonical_id, r.status) for r in E.phase_one(spark.createDataFrame(p, "ocid string, raw_id string, norm string, roles array<string>, scheme string, value string")).collect()}
+    assert got == {"r1": ("GB-COH-7", "deterministic"), "r2": ("GB-COH-7", "role_alias"), "r3": ("r3", "singleton"), "r4": ("GB-COH-1", "deterministic"), "r5": ("GB-COH-2", "deterministic"), "r6": ("r6", "singleton")}
+    aliases = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (4, 40), (5, 50)], "raw_id long, canonical_id long")
+    mapping = spark.createDataFrame([(10, 20), (20, 30), (40, 50), (50, 40), (30, 30)], "old_id long, new_id long")
+    now, log = E.remap_audited(aliases, mapping, "test")
+    assert {tuple(r) for r in now.collect()} == {(1, 30), (2, 30), (3, 30), (4, 40), (5, 40)}
+    assert {tuple(r) for r in log.collect()} == {(1, 10, 30, "test"), (2, 20, 30, "test"), (5, 50, 40, "test")}
+    orgs = spark.createDataFrame([(1, "a", " Singleton "), (2, "A", "deterministic"), (3, None, "deterministic"), (4, "b", None)], "row_id long, id string, st string")
+    assert {tuple(r) for r in E.consolidate(orgs, F.upper("id"), F.col("st"), ["deterministic", "singleton"]).collect()} == {("A", 2, "deterministic", 2), ("B", 4, None, 1)}
+
+
+def test_contributors(spark):
+    rows = [("a", 1.0), ("a", 0.5), ("b", 95.0), ("b", 5.0), ("b", None), ("c", None), ("d", 7.0), ("e", 50.0), ("e", 50.0)]
+    got = {r.g: (r.n_values, r.share, r.nominal_only, r.dominated) for r in Q.contributors(spark.createDataFrame(rows, "g string, v double"), ["g"], F.col("v")).collect()}
+    assert got == {"a": (2, 0.6667, True, False), "b": (2, 0.95, False, True), "c": (0, None, False, False), "d": (1, 1.0, False, False), "e": (2, 0.5, False, False)}
+
+
+def test_components_of_a_hub_with_the_largest_id(spark):
+    edges = [(i, 10_000) for i in range(3000)] + [(20_000 + i, 20_001 + i) for i in range(200)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in connected_components(df, chunk=400).collect()}
+    assert got == slow_components(edges)

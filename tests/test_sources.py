@@ -114,8 +114,9 @@ def test_files(spark, tmp_path):
 
 def test_small_tables(spark, tmp_path):
     p = tmp_path / "t.tsv"
-    p.write_text("Year\tNo.\tScore\tName\tName\n2001\t1,200\t5-14 (29)\tAda (UK)\tx\\ny\n2002\t£30\t6-7\tBob (US)\t\n2003\t5%\t7-1\tCid\tz\n")
+    p.write_text("Year\tNo.\tScore\tName\tName\n2001\t1,200\t5-14 (29)\tAda (UK)\tx\\ny\n2002\t£30\t6-7\tBob (US)\t\n2003\t5%\t7-1\tCid\ta\\\\nb\\nc\n")
     df = tsv.read_tsv(spark, str(p))
+    assert df.where("row_no = 2").first().name_2 == "a\\nb\nc"
     assert df.columns == ["row_no", "year", "no", "score", "name", "name_2"] and df.where("row_no = 0").first().name_2 == "x\ny"
     t = tsv.typed(df)
     assert [r.no for r in t.orderBy("row_no").collect()] == [1200.0, 30.0, 5.0]
@@ -158,3 +159,5 @@ def test_caches_and_settings(spark, tmp_path):
     p.write_text("nope: 1\n")
     with pytest.raises(ValueError):
         Settings.read(str(p))
+    p.write_text("paths:\n  raw_folder: here\n  graph_folder: 'there'\nyears:\n  - 2024\n  - 2025\nchunk:\n  words: 300\n  # note\n  overlap: 30\n")
+    assert Settings.read(str(p)) == Settings(raw_folder="here", graph_folder="there", years=(2024, 2025), chunk_words=300, chunk_overlap=30)

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.functions.answers import same_answer
+from quillgraph.functions.answers import STRICT, same_answer
 from quillgraph.operators import lookup as L
+from quillgraph.operators import relational as R
 from quillgraph.operators import workload as K
 from quillgraph.plans.algebra import check
 from quillgraph.plans.rules import how_many
@@ -47,6 +48,23 @@ def test_answers():
     assert all(same_answer(a, b) for a, b in same) and not any(same_answer(a, b) for a, b in other)
 
 
+def test_answers_of_evaluation_runs():
+    assert not same_answer(0.004, 0.009, STRICT) and same_answer(1e9, 1e9 + 500, STRICT) and same_answer([["a", 1]], [["A", 7]], STRICT) and not same_answer([["a", 1]], [["b", 1]], STRICT)
+
+
+def test_work_on_splits_ties_and_hidden_fields(spark):
+    rows = spark.createDataFrame([(1, "p", "train"), (2, "p", "dev"), (3, "p", "train"), (4, "q", "dev"), (5, "q", "train"), (6, None, "dev"), (7, "p", None)], "i int, plan string, split string")
+    got = {r.i: r.new_split for r in K.whole_splits(rows, "plan", "split", ["dev", "train"]).collect()}
+    assert got == {1: "train", 2: "train", 3: "train", 4: "dev", 5: "dev", 6: "dev", 7: None}
+    counts = spark.createDataFrame([("a", "x", 5), ("a", "y", 3), ("a", "z", 3), ("b", "x", 2), ("b", "y", 1)], "g string, n string, k long")
+    assert [tuple(r) for r in K.boundary_ties(counts, "g", "n", "k", 2).collect()] == [("a", 3, 2, 1)]
+    fields = spark.createDataFrame([(1, "h"), (1, "h"), (2, "ok")], "i int, field string")
+    assert {r.i: r.reason for r in K.without_fields(rows.where("i < 4"), fields, ["h"], "i").collect()} == {1: "hidden:h", 2: None, 3: None}
+    sizes = spark.createDataFrame([(i, 3) for i in range(50)], "i int, size int")
+    assert sorted(r.i for r in K.cut_at_total(sizes, ["i"], "size", 20).collect()) == list(range(7)) and K.cut_at_total(sizes.limit(0), ["i"], "size", 20).count() == 0
+    assert R.apportion_within({"a": 3.0, "b": 1.0}, {"a": 2, "b": 9}, 8) == {"a": 2, "b": 6} and R.apportion_within({"a": 1.0}, {"a": 1}, 5) == {"a": 1}
+
+
 def test_lookups(spark):
     df = spark.createDataFrame([("Leeds Council", 1)] * 5 + [("LEEDS COUNCIL", 1)] * 2 + [("York Trust", 2), (None, 3), (" ", 4)], "name string, y int")
     best = {r.folded: (r.name, r.n_variants, r.n_rows) for r in L.best_variant(df, "name").collect()}
