@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.skew import lookup_join
 from ..session import cut, spread
 
 SHARE = 0.75
@@ -125,18 +126,8 @@ def _pairs(keys: DataFrame) -> DataFrame:
     return a.join(b, "k").where("a < b").select("a", "b", "proof")
 
 
-def near_duplicates(df: DataFrame, text: str, row: str = "row_id", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(members `row_id, class_id`; links `class_a, class_b, shared, words`) of the rows whose `text` agrees in SHARE of the longer one's words.
-
-    Words count in any order, with repetitions, ignoring case and punctuation. Rows with the same words are one class (named by its
-    smallest row) and are not paired with each other; links join classes. Each word and repetition is a positional byte. With items in
-    one global order from rare to frequent, two similar classes share at least SHARED items among their rarest (n - needed(n) + SHARED).
-    An item that at most RARE classes have is an index key by itself (one of a single class is none); if all shared items are more
-    frequent, their pairs are, and a pair of classes must meet in the SHARED over 2 keys these make. Pairs of classes that do are verified
-    on all their items. A key with more than `hot` classes is replaced by keys with a third item, of which similar classes share one too;
-    nothing is capped. Order comes from a table of SLOTS counts over all classes. Blank and null texts, and texts without letters or
-    digits, are in no class; texts of one or two words are similar to the same words only.
-    """
+def _indexed(df: DataFrame, text: str, row: str, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members `row_id, class_id`; classes `class_id, items`; index `k, class_id, proof`) of the texts that have words."""
     rows = cut(spread(df.select(F.col(row).cast("long").alias("row_id"), F.col(text).alias("text")).where("row_id is not null and text is not null")).mapInArrow(_items, "row_id long, items array<long>"))
     same = F.unhex(F.md5(F.concat_ws(",", F.transform("items", lambda x: x.cast("string")))))
     rows = rows.withColumn("same", same)
@@ -153,18 +144,58 @@ def near_duplicates(df: DataFrame, text: str, row: str = "row_id", hot: int = HO
     cold = keys.join(sizes.where(F.col("count") <= hot).select("k"), "k", "left_semi")
     warm = keys.join(sizes.where(F.col("count") > hot).select("k"), "k", "left_semi").join(prefixes, "class_id").select("k", "class_id", "prefix").mapInArrow(_refined, "k long, class_id long")
     # A refined key stands for three shared items, so it is proof enough by itself.
-    tally = _pairs(cold).unionByName(_pairs(warm.withColumn("proof", F.lit(SHARED)))).groupBy("a", "b").agg(F.sum("proof").alias("proof"))
-    found = tally.where(F.col("proof") >= SHARED * (SHARED - 1) // 2)
+    return members, classes.select("class_id", "items"), cold.unionByName(warm.withColumn("proof", F.lit(SHARED)))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """`class_a, class_b, shared, words` of the candidate pairs `a, b` that agree in SHARE of the longer one's words."""
     ia = classes.select(F.col("class_id").alias("a"), F.col("items").alias("ia"))
     ib = classes.select(F.col("class_id").alias("b"), F.col("items").alias("ib"))
     longer = F.greatest(F.size("ia"), F.size("ib"))
     shared = F.size(F.array_intersect("ia", "ib"))
-    links = (
-        found.join(ia, "a").join(ib, "b")
-        .select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), shared.alias("shared"), longer.alias("words"))
-        .where(F.col("shared") >= F.lit(SHARE) * F.col("words"))
-    )
-    return members, links
+    d = pairs.join(ia, "a").join(ib, "b").select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), shared.alias("shared"), longer.alias("words"))
+    return d.where(F.col("shared") >= F.lit(SHARE) * F.col("words"))
+
+
+def _counted(met: DataFrame) -> DataFrame:
+    """The pairs that meet in as many keys as similar classes are bound to."""
+    return met.groupBy("a", "b").agg(F.sum("proof").alias("proof")).where(F.col("proof") >= SHARED * (SHARED - 1) // 2).select("a", "b")
+
+
+def near_duplicates(df: DataFrame, text: str, row: str = "row_id", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(members `row_id, class_id`; links `class_a, class_b, shared, words`) of the rows whose `text` agrees in SHARE of the longer one's words.
+
+    Words count in any order, with repetitions, ignoring case and punctuation. Rows with the same words are one class (named by its
+    smallest row) and are not paired with each other; links join classes. Each word and repetition is a positional byte. With items in
+    one global order from rare to frequent, two similar classes share at least SHARED items among their rarest (n - needed(n) + SHARED).
+    An item that at most RARE classes have is an index key by itself (one of a single class is none); if all shared items are more
+    frequent, their pairs are, and a pair of classes must meet in the SHARED over 2 keys these make. Pairs of classes that do are verified
+    on all their items. A key with more than `hot` classes is replaced by keys with a third item, of which similar classes share one too;
+    nothing is capped. Order comes from a table of SLOTS counts over all classes. Blank and null texts, and texts without letters or
+    digits, are in no class; texts of one or two words are similar to the same words only.
+    """
+    members, classes, keys = _indexed(df, text, row, hot)
+    return members, _verified(_counted(_pairs(keys)), classes)
+
+
+def group_links(df: DataFrame, text: str, row: str = "row_id", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(members `row_id, class_id`; links `a, b`) that join the same classes as `near_duplicates` by chains, without all pairs of a large group.
+
+    First each class is compared with the smallest class of each of its keys only. Keys whose classes are then all joined are done; in the
+    others only classes that are not joined yet are paired. So a group of one template costs a link a class, not a link a pair.
+    """
+    members, classes, keys = _indexed(df, text, row, hot)
+    keys = cut(keys)
+    low = keys.groupBy("k").agg(F.min("class_id").alias("a"))
+    star = lookup_join(keys.select("k", F.col("class_id").alias("b")), low, "k", "inner").where("a <> b").select("a", "b").distinct()
+    first = cut(_verified(star, classes).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    joined = connected_components(first).select(F.col("node").alias("class_id"), "component")
+    k = cut(keys.join(joined, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
+    apart = k.groupBy("k").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("k")
+    k = k.join(apart, "k", "left_semi")
+    a, b = k.select("k", F.col("class_id").alias("a"), F.col("component").alias("ca"), "proof"), k.select("k", F.col("class_id").alias("b"), F.col("component").alias("cb"))
+    rest = _verified(_counted(a.join(b, "k").where("a < b and ca <> cb").select("a", "b", "proof")), classes)
+    return members, first.unionByName(rest.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
 
 
 def duplicate_pairs(df: DataFrame, texts: list[str], row: str = "row_id") -> DataFrame:
@@ -187,7 +218,7 @@ def duplicate_groups(df: DataFrame, texts: list[str], row: str = "row_id") -> Da
     """`row_id, group_row_id` of the rows that have a near-duplicate, by chains of similar texts; copies are linked to their class only."""
     edges = None
     for t in texts:
-        members, links = near_duplicates(df, t, row)
-        e = members.where("row_id <> class_id").select(F.col("row_id").alias("a"), F.col("class_id").alias("b")).unionByName(links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+        members, links = group_links(df, t, row)
+        e = members.where("row_id <> class_id").select(F.col("row_id").alias("a"), F.col("class_id").alias("b")).unionByName(links)
         edges = e if edges is None else edges.unionByName(e)
     return connected_components(edges).select(F.col("node").alias("row_id"), F.col("component").alias("group_row_id"))

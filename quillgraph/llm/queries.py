@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STAND_INS
-from ..session import table
+from ..session import cut, table
 from . import leakage, linkage, mojibake, names, neardup, overlap, splits, survivor, tokenize
 
 
@@ -107,10 +107,10 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 def p8_stats(spark: SparkSession, d: str) -> DataFrame:
     """Documents and tokens per source, and how many documents do not come back from their ids letter for letter."""
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    back = tokenize.decode_corpus(tokenize.encode_corpus(docs)).withColumnRenamed("text", "back")
-    n = tokenize.encode_corpus(docs).select("doc_id", F.size("ids").alias("n"))
+    coded = cut(tokenize.encode_corpus(docs))
+    back = tokenize.decode_corpus(coded).withColumnRenamed("text", "back").join(coded.select("doc_id", F.size("ids").alias("n")), "doc_id")
     return (
-        docs.join(back, "doc_id").join(n, "doc_id").groupBy("source")
+        docs.join(back, "doc_id").groupBy("source")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.count_if(F.coalesce("text", F.lit("")) != F.col("back")).alias("n_changed"))
     )
 
@@ -171,6 +171,10 @@ SQL = {
     "p7_found": f"""{_P7}, s as (select a.row_id as row_id_a, b.row_id as row_id_b, count(*) as c, max(greatest(a.n, b.n)) as m
         from o a join o b on a.f = b.f and a.word = b.word and a.k = b.k and a.row_id < b.row_id group by a.row_id, b.row_id, a.f)
       select distinct row_id_a, row_id_b from s where c >= 0.75 * m""",
+    "p7_groups": f"""with recursive {_P7[5:]}, s as (select a.row_id as x, b.row_id as y
+        from o a join o b on a.f = b.f and a.word = b.word and a.k = b.k and a.row_id < b.row_id group by a.row_id, b.row_id, a.f having count(*) >= 0.75 * max(greatest(a.n, b.n))),
+      e as (select x as a, y as b from s union select y, x from s), r(row_id, grp) as (select a, a from e union select e.b, r.grp from r join e on e.a = r.row_id)
+      select row_id, min(grp) as group_row_id from r group by 1""",
     "p4_found": f"{_P4} select row_id, group_row_id from m where group_row_id in (select group_row_id from m group by 1 having count(*) > 1)",
     "p6_found": f"{_P6} select g.group_row_id, b.field_name, b.row_id as best_row_id from b join g using (k) where rn = 1",
     "p6_records": f"{_P6} select g.group_row_id, g.n_rows, {', '.join(f'max(case when field_name = {chr(39)}{f}{chr(39)} then v end) as {f}' for f in survivor.FIELDS)} from g left join b on b.k = g.k and rn = 1 group by g.k, g.group_row_id, g.n_rows",

@@ -58,6 +58,23 @@ PLAN = '{"constraints": [{"field": "y", "op": "eq", "value": 2020}, {"field": "n
 LAID_OUT = '{ "answer_field":"id",\n "answer_operation":"count", "constraints":[{"op":"eq","value":"ab c","field":"n"},{"value":"2020","field":"y","op":"eq"}], "note": 1}'
 
 
+def test_groups_of_one_template_need_few_links(spark):
+    base = [f"t{i}" for i in range(16)]
+    rows = [(i, " ".join([*base, f"own{i}", f"more{i}"])) for i in range(300)] + [(1000 + i, t) for i, t in enumerate(random_texts(9))]
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    members, links = neardup.group_links(df, "text", hot=5)
+    links = links.distinct().count()
+    _, every = neardup.near_duplicates(df, "text", hot=5)
+    assert links < 2000 < 300 * 299 // 2 <= every.count()
+    got = {r.row_id: r.group_row_id for r in neardup.duplicate_groups(df, ["text"]).collect()}
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in slow_pairs(rows):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert got == {x: find(x) for x in root}
+
+
 def _asked(n):
     """Requests of several templates with their plans; every plan in a plain wording and in one with a word that asks nothing."""
     out = []
