@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lookup as L
 from ..operators import workload as K
 from ..session import table
+from .algebra import check
 from .catalogue import UNIVERSE_SQL
+from .bridges import BRIDGES, Bridge
+from .families import USED, bridges, extended
+from .trees import tree_of_plan
 from .universe import star_universe
 
 
@@ -41,6 +49,35 @@ def evidence_rederived(spark: SparkSession, d: str) -> DataFrame:
     return edges.join(u, "buyer_name", "full").select("buyer_name", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("n_records", F.lit(0)).alias("n_records"), F.col("n_edges").eqNullSafe(F.col("n_records")).alias("agree"))
 
 
+def work_families(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors and answers of the extended question families."""
+    return extended(star_universe(spark, d, USED).df)
+
+
+def work_bridges(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors and answers of the families that go through a named sub-query."""
+    return bridges(star_universe(spark, d, USED).df)
+
+
+def _typed_plans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for text, question in zip(b["gold_plan"], b["question"]):
+            try:
+                plan = json.loads(text) if text else None
+                tree = tree_of_plan(plan, question or "") if isinstance(plan, dict) else None
+                out.append(("none", 0) if tree is None else (check(tree), len(tree["of"]["where"]) if "where" in tree["of"] else len(tree["of"]["of"]["where"])))
+            except (ValueError, KeyError) as e:
+                out.append((type(e).__name__, 0))
+        yield pd.DataFrame({"row_id": b["row_id"], "kind": [o[0] for o in out], "n_predicates": [o[1] for o in out]})
+
+
+def plan_trees(spark: SparkSession, d: str) -> DataFrame:
+    """The result type and number of conditions of the tree of every gold plan; broken and blank plans have none."""
+    q = table(spark, d, "qa_rows").select("row_id", "gold_plan", "question")
+    return q.mapInPandas(_typed_plans, "row_id long, kind string, n_predicates int")
+
+
 def work_mined(spark: SparkSession, d: str) -> DataFrame:
     """Combinations of buyer, year and category that a count question can be asked about."""
     u = star_universe(spark, d, frozenset({"contract_node_id", "buyer_name", "release_year", "tender_category"})).df
@@ -105,7 +142,8 @@ def work_usage(spark: SparkSession, d: str) -> DataFrame:
     return K.usage(b, "rewrite_model", "n_chars", "generation_notes")
 
 
-_NAMES = """lookup_best_variant lookup_registry lookup_literals lookup_cells evidence_rederived work_mined work_specs work_twins work_split_leaks work_seal work_trigrams work_cut work_route work_pass_at_k work_paired work_usage"""
+_NAMES = """lookup_best_variant lookup_registry lookup_literals lookup_cells evidence_rederived work_mined work_specs work_twins work_split_leaks work_seal work_trigrams work_cut work_route work_pass_at_k work_paired work_usage
+work_families work_bridges plan_trees"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _U = f"with {UNIVERSE_SQL}"
@@ -113,7 +151,39 @@ _MINED = """g as (select contract_node_id, buyer_name as b, release_year::varcha
   mined as (select 'buyer_name' as fields, 'buyer_name=' || b as anchor, count(*) as n from g where trim(b) <> '' group by b union all select 'buyer_name+release_year', 'buyer_name=' || b || '|release_year=' || y, count(*) from g where trim(b) <> '' group by b, y
     union all select 'release_year+tender_category', 'release_year=' || y || '|tender_category=' || c, count(*) from g where trim(c) <> '' group by y, c)"""
 _TRI = "case when len({c}) >= 3 then list_distinct(list_transform(range(1, len({c}) - 1), lambda i: substr({c}, i, 3))) else [] end"
+_ROW = "select '{f}' as family, concat_ws('|', {a}) as anchor, ({x})::varchar as answer from {t}"
+_B, _Y, _C = "trim(buyer_name) <> ''", "release_year is not null", "trim(tender_category) <> ''"
+_FAMILIES = " union all ".join(
+    _ROW.format(f=f, a=a, x=x, t=f"({t})")
+    for f, a, x, t in (
+        ("exists", "buyer_name, release_year, tender_category", "true", f"select distinct buyer_name, release_year, tender_category from u where {_B} and {_Y} and {_C}"),
+        ("field_equality", "buyer_name, release_year", "c", f"select buyer_name, release_year, min(tender_category) as c from u where {_B} and {_Y} and {_C} group by 1, 2 having count(*) = 1"),
+        ("numeric_threshold", "release_year, tender_category", "s > 10000000", f"select release_year, tender_category, sum(value_amount::decimal(38,6)) as s from u where value_is_additive and {_Y} and {_C} group by 1, 2"),
+        ("max", "buyer_name, release_year", "hi", f"select buyer_name, release_year, arg_min(contract_node_id, (-value_amount, contract_node_id)) as hi from u where {_B} and {_Y} and value_amount > 0 group by 1, 2"),
+        ("min", "buyer_name, release_year", "lo", f"select buyer_name, release_year, arg_min(contract_node_id, (value_amount, contract_node_id)) as lo from u where {_B} and {_Y} and value_amount > 0 group by 1, 2"),
+        ("top_k", "release_year", "a", f"""select release_year, string_agg(buyer_name, '|' order by r) as a from
+          (select release_year, buyer_name, row_number() over (partition by release_year order by count(*) desc, buyer_name) as r from u where {_B} and {_Y} group by 1, 2) where r <= 3 group by 1"""),
+        ("set", "buyer_name, release_year", "a", f"select buyer_name, release_year, array_to_string(list_sort(list(distinct tender_category)), '|') as a from u where {_B} and {_Y} and {_C} group by 1, 2"),
+        ("comparison", "buyer_name, release_year", "n > b", f"""select * from (select *, lag(n) over w as b, lag(release_year) over w as y from
+          (select buyer_name, release_year, count(*) as n from u where {_B} and {_Y} group by 1, 2) window w as (partition by buyer_name order by release_year)) where y = release_year - 1"""),
+    )
+)
+
+
+def _bridge_sql(name: str, b: Bridge) -> str:
+    by = ", ".join(b.by.values())
+    filled = " and ".join(f"trim({c}::varchar) <> ''" for c in (*b.by.values(), b.gives))
+    return _ROW.format(f=name, a=by, x="n", t=f"(select {by}, count(distinct {b.gives}) as n from u where {filled} group by {by})")
+
+
+_BRIDGES = " union all ".join(_bridge_sql(name, b) for name, b in BRIDGES.items())
+
 SQL = {
+    "work_families": f"with {UNIVERSE_SQL} {_FAMILIES}",
+    "work_bridges": f"with {UNIVERSE_SQL} {_BRIDGES}",
+    "plan_trees": """select row_id, case when gold_plan is null or gold_plan in ('', 'null') then 'none' when not json_valid(gold_plan) then 'JSONDecodeError' else
+        case json_extract_string(gold_plan, '$.answer_operation') when 'count' then 'NUMBER' when 'sum' then 'NUMBER' when 'exists' then 'BOOL' when 'distinct_set' then 'VALUES' when 'argmax' then 'VALUE' when 'rank_top_k' then 'RANKING' else 'NoTree' end end as kind,
+      case when json_valid(gold_plan) then coalesce(json_array_length(gold_plan, '$.constraints'), 0)::int else 0 end as n_predicates from qa_rows""",
     "lookup_best_variant": """with v as (select lower(regexp_replace(trim(buyer_name), '\\s+', ' ', 'g')) as folded, buyer_name as name, count(*) as n from runtime_records where trim(buyer_name) <> '' group by 1, 2)
       select folded, arg_min(name, (-n, name)) as name, count(*) as n_variants, sum(n)::bigint as n_rows from v group by 1""",
     "lookup_registry": """with p as (select raw_id, name, count(*) as n, min(release_year) as a, max(release_year) as b from party_obs where trim(name) <> '' group by 1, 2), r as (select *, row_number() over (partition by raw_id order by n desc, name) as r from p)

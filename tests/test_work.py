@@ -97,3 +97,19 @@ def test_workload(spark):
     assert [r.gate for r in K.adjudicated(dec).collect()] == ["merge", "review", "invalid", "invalid", "reject"]
     t = K.trigram_similar(spark.createDataFrame([(1, "x", "hello world")], "i long, b string, t string"), spark.createDataFrame([(2, "x", "Hello worlds"), (3, "y", "hello world")], "i long, b string, t string"), "b", "t", "i")
     assert [(r.a, r.b) for r in t.collect()] == [(1, 2)]
+
+
+def test_repairs_and_faults():
+    from quillgraph.plans.repairs import Outcome, faults, variants
+
+    tree = {"node": "filter", "where": [{"field": "year__num", "op": "gt", "value": 2019}]}
+    got = dict(variants(tree, frozenset({"year", "name"}), ("name", "other")))
+    fixed = {"node": "filter", "where": [{"field": "year", "op": "gte", "value": 2020}]}
+    assert got == {"bounds": {"node": "filter", "where": [{"field": "year__num", "op": "gte", "value": 2020}]}, "answer:name": {"node": "values", "of": fixed, "field": "name"}}
+    good = {"node": "count", "of": {"node": "filter", "where": [{"field": "year", "op": "eq", "value": 2020}]}}
+    assert not list(variants(good, frozenset({"year"})))
+    assert faults(good, Outcome("NUMBER", 4, (4,)), "How many contracts in 2020?", ("year",)) == {}
+    assert faults(good, Outcome("NUMBER", 0, (0,)), "Which buyer?", ("name", "title", "other")) == {"nothing_matched": 3, "kind": 1, "unused_links": 2}
+    assert faults(good, Outcome("VALUES", [], ()), "Is there any?") == {"empty": 3, "kind": 2}
+    assert faults(good, Outcome("VALUE", "Leeds Council", (1,)), "What did Leeds Council buy?") == {"repeats_question": 2}
+    assert faults(good, Outcome("NUMBER", 0, (3,)), "How many?") == {"zero": 1}
