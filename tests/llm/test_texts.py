@@ -109,6 +109,7 @@ def test_what_differs_and_winnowing():
     assert overlap.unmatched("the contrcats of 2020 were alpha".split(), "the contracts of 2021 where alpha".split(), template) == (["2020"], ["2021"], {"contrcats": "contracts", "were": "where"})
     assert overlap.unmatched(["alpha"], ["alphas"], template)[:2] == (["alpha"], ["alphas"])
     none = frozenset()
+    assert overlap.same_order("that were given and were sold".split(), "that where given and were sold".split(), template, none, {"were": "where"})
     assert not overlap.same_order("buyer alpha firm beta".split(), "buyer beta firm alpha".split(), template, none, {})
     assert overlap.same_order("buyer alpha firm beta which".split(), "firm beta which buyer alpha".split(), template, none, {})
     text = "the quick brown fox jumps over the lazy dog again and again"
