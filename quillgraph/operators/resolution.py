@@ -116,10 +116,18 @@ def standard_blocks() -> list[Block]:
     ]
 
 
-def similar_pairs(entities: DataFrame, key: str, name: str, threshold: float = 0.92) -> DataFrame:
-    """`a, b, norm_a, norm_b, similarity`: entities whose names begin with the same three letters and are Jaro-Winkler similar, by `similar_within`."""
-    e = entities.select(F.col(key).alias("id"), S.norm_name(F.col(name)).alias("norm")).where("norm <> '' and id is not null")
-    return similar_within(e.select(F.substring("norm", 1, 3).alias("block"), "id", "norm"), threshold).drop("block")
+def similar_pairs(entities: DataFrame, key: str, name: str, threshold: float = 0.92, largest: int = 50) -> DataFrame:
+    """`a, b, norm_a, norm_b, similarity`: entities whose names begin with the same three letters and are Jaro-Winkler similar.
+
+    All such pairs of a block of at most `largest` rows come out; a larger one gives the links of its similar names (`similar_within`).
+    """
+    e = entities.select(F.col(key).alias("id"), S.norm_name(F.col(name)).alias("norm")).where("norm <> '' and id is not null").withColumn("block", F.substring("norm", 1, 3))
+    sizes = e.groupBy("block").count().where("count > 1")
+    small = e.join(sizes.where(F.col("count") <= largest).select("block"), "block", "left_semi")
+    large = e.join(sizes.where(F.col("count") > largest).select("block"), "block", "left_semi")
+    a, b = small.select("block", F.col("id").alias("a"), F.col("norm").alias("norm_a")), small.select("block", F.col("id").alias("b"), F.col("norm").alias("norm_b"))
+    pairs = a.join(b, "block").where("a < b").withColumn("similarity", F.round(S.jaro_winkler("norm_a", "norm_b"), 4)).where(F.col("similarity") >= threshold)
+    return pairs.unionByName(similar_within(large, threshold)).drop("block")
 
 
 def pair_features(pairs: DataFrame, entities: DataFrame, key: str) -> DataFrame:
