@@ -27,6 +27,11 @@ bids struct<statistics: array<struct<id: string, measure: string, value: double,
 """.replace("\n", " ")
 
 
+def _none(column: str) -> Column:
+    """An empty list of the type of a column of RELEASE."""
+    return F.array().cast(T.StructType.fromDDL(RELEASE)[column].dataType)
+
+
 def read_releases(spark: SparkSession, path: str | list[str], years: list[int] | None = None) -> DataFrame:
     """Releases of JSON-lines files (gzip too): blank and malformed lines, and releases without ocid or date, are left out.
 
@@ -44,26 +49,33 @@ def read_releases(spark: SparkSession, path: str | list[str], years: list[int] |
 def parse_lines(lines: DataFrame, value: str = "value", file: str = "source_file") -> DataFrame:
     """Releases of a column of JSON texts, by the rules of `read_releases`: blank and malformed ones, and those without ocid or date, are left out."""
     schema = T.StructType.fromDDL(RELEASE).add("_bad", T.StringType())
-    r = lines.where(F.trim(value) != "").select(F.from_json(value, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), F.col(file).alias("source_file")).select("r.*", "source_file")
+    parsed = F.from_json(value, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    # As a generator's output a text is parsed once; as a column the filter below would be pushed under it and parse it again for each condition.
+    r = lines.where(F.trim(value) != "").select(F.explode(F.array(parsed)).alias("r"), F.col(file).alias("source_file")).select("r.*", "source_file")
     return r.where(F.col("_bad").isNull() & (F.trim("ocid") != "") & (F.trim("date") != "")).drop("_bad")
 
 
 def aligned_snapshot(releases: DataFrame, chosen: DataFrame) -> DataFrame:
     """The raw releases that were chosen (`ocid, id`), one per process: of several copies the first by file."""
     rest = [c for c in releases.columns if c not in ("ocid", "id")]
-    d = releases.join(chosen.select("ocid", "id").distinct(), ["ocid", "id"], "left_semi")
+    d = releases.join(chosen.select("ocid", "id"), ["ocid", "id"], "left_semi")
     return d.groupBy("ocid").agg(F.min_by(F.struct("id", *rest), F.struct("source_file", "date")).alias("r")).select("ocid", "r.*")
 
 
+def _descending(text: Column) -> Column:
+    """A text that sorts as `text` does, but backwards: its bytes' complements, and an end that comes after all of them."""
+    return F.concat(F.translate(F.hex(text), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
 def latest_releases(releases: DataFrame) -> DataFrame:
     """One release per ocid, of the greatest date (ties: the first file, then the smaller id), with `source_years`, the files it stood in.
 
-    One aggregation; a process with many releases combines before the shuffle.
+    One aggregation with one shuffle; a process with many releases combines before it. All columns of `releases` besides ocid, id, date and
+    source_file are carried along, so select those that are asked for first: inside the aggregate nothing is pruned.
     """
     rest = [c for c in releases.columns if c != "ocid"]
-    # The greatest date and, in it, the smallest file and id: the order of the negated rest cannot be had for text, so the first by text wins.
-    g = releases.groupBy("ocid", "date").agg(F.min_by(F.struct(*rest), F.struct("source_file", "id")).alias("r"), F.collect_set("source_file").alias("files"))
-    g = g.groupBy("ocid").agg(F.max_by("r", "date").alias("r"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("files")))), "|").alias("source_years"))
+    first = F.struct(_descending(F.col("date")), "source_file", "id")
+    g = releases.groupBy("ocid").agg(F.min_by(F.struct(*rest), first).alias("r"), F.array_join(F.array_sort(F.collect_set("source_file")), "|").alias("source_years"))
     return g.select("ocid", "r.*", "source_years").withColumn("year", F.expr("try_cast(substring(date, 1, 4) as int)"))
 
 
@@ -116,19 +128,38 @@ def contracts_by_award(r: DataFrame) -> DataFrame:
     )
 
 
+def award_list() -> Column:
+    """The awards of a release, with the best value and where it comes from: award, else contract, else tender. Its contracts are looked up in the release."""
+    none = F.array().cast("array<string>")
+    known = F.filter("contracts", lambda c: F.trim(c["awardID"]) != "")
+    tender_value = best_amount(F.col("tender.value"))
+
+    def first(own: Column, e) -> Column:
+        """The value of the smallest contract id that has one."""
+        some = F.filter(own, lambda c: e(c).isNotNull() & c["id"].isNotNull())
+        return F.get(F.array_sort(F.transform(some, lambda c: F.struct(c["id"].alias("id"), e(c).alias("e")))), F.lit(0))["e"]
+
+    def row(a: Column, own: Column) -> Column:
+        value, contract_value = best_amount(a["value"]), first(own, lambda c: best_amount(c["value"]))
+        source = F.when(value.isNotNull(), "award").when(contract_value.isNotNull(), "contract").when(tender_value.isNotNull(), "tender").otherwise("")
+        return F.struct(
+            blank(a["id"]).alias("award_id"), blank(F.array_min(F.transform(own, lambda c: c["id"]))).alias("contract_id"), blank(a["title"]).alias("award_title"), blank(a["status"]).alias("award_status"),
+            value.alias("award_value_amount"), F.coalesce(value, contract_value, tender_value).alias("award_value_best_amount"), source.alias("award_value_source"), blank(a["value"]["currency"]).alias("award_value_currency"),
+            blank(first(own, lambda c: c["dateSigned"])).alias("award_date_signed"), blank(a["contractPeriod"]["startDate"]).alias("award_period_start"), blank(a["contractPeriod"]["endDate"]).alias("award_period_end"),
+            F.coalesce(a["relatedLots"], none).alias("related_lots"), F.coalesce(F.transform(a["suppliers"], lambda s: s["id"]), none).alias("supplier_raw_ids"),
+            F.size(F.array_distinct(F.array_compact(F.transform(own, lambda c: c["id"])))).cast("long").alias("n_contracts"),
+        )
+
+    def with_own(a: Column) -> Column:
+        own = F.coalesce(F.filter(known, lambda c: c["awardID"] == blank(a["id"])), _none("contracts"))
+        return F.transform(F.array(own), lambda o: row(a, o))[0]
+
+    return F.transform("awards", with_own)
+
+
 def awards(r: DataFrame) -> DataFrame:
-    """ocid × award, with the best value and where it comes from: award, else contract, else (for a single award) tender."""
-    a = r.select("ocid", F.explode("awards").alias("a"), best_amount(F.col("tender.value")).alias("tender_value"))
-    a = a.withColumn("award_id", blank(F.col("a.id"))).join(contracts_by_award(r), ["ocid", "award_id"], "left")
-    own = best_amount(F.col("a.value"))
-    source = F.when(own.isNotNull(), "award").when(F.col("contract_value").isNotNull(), "contract").when(F.col("tender_value").isNotNull(), "tender").otherwise("")
-    return a.select(
-        "ocid", "award_id", blank(F.col("contract_id")).alias("contract_id"), blank(F.col("a.title")).alias("award_title"), blank(F.col("a.status")).alias("award_status"), own.alias("award_value_amount"),
-        F.coalesce(own, "contract_value", "tender_value").alias("award_value_best_amount"), source.alias("award_value_source"), blank(F.col("a.value.currency")).alias("award_value_currency"),
-        blank(F.col("date_signed")).alias("award_date_signed"), blank(F.col("a.contractPeriod.startDate")).alias("award_period_start"), blank(F.col("a.contractPeriod.endDate")).alias("award_period_end"),
-        F.coalesce("a.relatedLots", F.array().cast("array<string>")).alias("related_lots"), F.coalesce(F.transform("a.suppliers", lambda s: s["id"]), F.array().cast("array<string>")).alias("supplier_raw_ids"),
-        F.coalesce("n_contracts", F.lit(0)).alias("n_contracts"),
-    )
+    """ocid × award (`award_list`) of the latest releases, one row an ocid: nothing is shuffled."""
+    return r.select("ocid", F.inline(award_list()))
 
 
 def bid_stats(r: DataFrame) -> DataFrame:
@@ -159,18 +190,29 @@ def documents(r: DataFrame) -> DataFrame:
     ).where("url <> '' or document_id <> ''")
 
 
-def party_observations(r: DataFrame) -> DataFrame:
-    """ocid × party, and suppliers that only awards name."""
-    p = r.select("ocid", "year", F.explode("parties").alias("p"))
-    named = p.select(
-        "ocid", "year", blank(F.col("p.id")).alias("raw_id"), blank(F.col("p.name")).alias("name"), F.coalesce("p.roles", F.array().cast("array<string>")).alias("roles"),
-        blank(F.col("p.identifier.scheme")).alias("identifier_scheme"), blank(F.col("p.identifier.id")).alias("identifier_id"), blank(F.col("p.identifier.legalName")).alias("identifier_legal_name"),
-        blank(F.col("p.address.region")).alias("address_region"), blank(F.col("p.address.postalCode")).alias("postal_code"), blank(F.col("p.details.url")).alias("details_url"),
+def party_list() -> Column:
+    """The parties of a release, and the suppliers that only its awards name; those without id are left out."""
+    none = F.lit("")
+    named = F.transform(
+        F.coalesce("parties", _none("parties")),
+        lambda p: F.struct(
+            blank(p["id"]).alias("raw_id"), blank(p["name"]).alias("name"), F.coalesce(p["roles"], F.array().cast("array<string>")).alias("roles"),
+            blank(p["identifier"]["scheme"]).alias("identifier_scheme"), blank(p["identifier"]["id"]).alias("identifier_id"), blank(p["identifier"]["legalName"]).alias("identifier_legal_name"),
+            blank(p["address"]["region"]).alias("address_region"), blank(p["address"]["postalCode"]).alias("postal_code"), blank(p["details"]["url"]).alias("details_url"),
+        ),
     )
-    s = r.select("ocid", "year", F.explode("awards").alias("a")).select("ocid", "year", F.explode("a.suppliers").alias("s"))
-    rest = s.select("ocid", "year", blank(F.col("s.id")).alias("raw_id"), blank(F.col("s.name")).alias("name"), F.array(F.lit("supplier")).alias("roles")).distinct()
-    rest = rest.join(named.select("ocid", "raw_id"), ["ocid", "raw_id"], "left_anti")
-    return named.unionByName(rest, allowMissingColumns=True).fillna("").where("raw_id <> ''")
+    suppliers = F.flatten(F.transform(F.coalesce("awards", _none("awards")), lambda a: F.coalesce(a["suppliers"], F.array().cast("array<struct<id: string, name: string>>"))))
+    pairs = F.array_distinct(F.transform(suppliers, lambda s: F.struct(blank(s["id"]).alias("id"), blank(s["name"]).alias("name"))))
+    rest = F.transform(
+        F.filter(pairs, lambda s: ~F.array_contains(F.transform("parties", lambda p: blank(p["id"])), s["id"]) | F.col("parties").isNull()),
+        lambda s: F.struct(s["id"].alias("raw_id"), s["name"].alias("name"), F.array(F.lit("supplier")).alias("roles"), *[none.alias(c) for c in ("identifier_scheme", "identifier_id", "identifier_legal_name", "address_region", "postal_code", "details_url")]),
+    )
+    return F.filter(F.concat(named, rest), lambda p: p["raw_id"] != "")
+
+
+def party_observations(r: DataFrame) -> DataFrame:
+    """ocid × party, and suppliers that only awards name (`party_list`), of the latest releases: nothing is shuffled."""
+    return r.select("ocid", "year", F.inline(party_list()))
 
 
 TABLES = {"tender_core": tender_core, "lots": lots, "award_criteria": award_criteria, "awards": awards, "bid_stats": bid_stats, "text_evidence": text_evidence, "documents": documents, "party_observations": party_observations}

@@ -161,3 +161,45 @@ def test_caches_and_settings(spark, tmp_path):
         Settings.read(str(p))
     p.write_text("paths:\n  raw_folder: here\n  graph_folder: 'there'\nyears:\n  - 2024\n  - 2025\nchunk:\n  words: 300\n  # note\n  overlap: 30\n")
     assert Settings.read(str(p)) == Settings(raw_folder="here", graph_folder="there", years=(2024, 2025), chunk_words=300, chunk_overlap=30)
+
+
+def shuffles(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("+- == Initial Plan ==")[0]
+    return final.count("Exchange hashpartitioning"), final.count("Join")
+
+
+def test_choice_is_one_shuffle_of_what_is_asked_for(spark, folder):
+    r = releases.read_releases(spark, folder)
+    assert shuffles(releases.latest_releases(r.select("ocid", "id", "date", "source_file"))) == (1, 0)
+    rows = [("o", "b", "2024", "f2"), ("o", "a", "2024", "f2"), ("o", "c", "2024-1", "f3"), ("o", "d", "2024-1", "f2"), ("o", "z", "20", "f1")]
+    last = releases.latest_releases(spark.createDataFrame(rows, "ocid string, id string, date string, source_file string")).first()
+    assert (last.id, last.date, last.source_years, last.year) == ("d", "2024-1", "f1|f2|f3", 2024)
+
+
+def test_awards_look_up_their_contracts_in_the_release(spark, folder):
+    contracts = [{"id": "c2", "awardID": "a1", "dateSigned": "2024-02-02", "value": {"amount": 2}}, {"id": "c1", "awardID": "a1"}, {"id": "c1", "awardID": "a1"}, {"id": "c0", "awardID": " "}, {"id": "c9", "awardID": "a3", "value": {"amount": 7}}]
+    lines = spark.createDataFrame([(json.dumps(release(contracts=contracts, awards=[{"id": "a1"}, {"id": "a1"}, {"id": "a3"}, {}])), "f"), (json.dumps(release("o2", awards=None)), "f")], "value string, source_file string")
+    latest_ = releases.latest_releases(releases.parse_lines(lines))
+    d = releases.awards(latest_)
+    assert sorted((x.award_id, x.contract_id, x.award_value_best_amount, x.award_value_source, x.award_date_signed, x.n_contracts) for x in d.collect()) == [
+        ("", "", 50.0, "tender", "", 0), ("a1", "c1", 2.0, "contract", "2024-02-02", 2), ("a1", "c1", 2.0, "contract", "2024-02-02", 2), ("a3", "c9", 7.0, "contract", "", 1),
+    ]
+    assert shuffles(d) == (1, 0)  # that of the choice
+
+
+def test_parties_are_told_in_the_release(spark):
+    suppliers = [{"id": "S1", "name": "B"}, {"id": "S1", "name": "B"}, {"id": "P1", "name": "other"}, {"name": "no id"}]
+    lines = spark.createDataFrame([(json.dumps(release(parties=[{"id": "P1", "roles": ["buyer"]}, {"name": "x"}], awards=[{"id": "a", "suppliers": suppliers}, {"id": "b"}])), "f"), (json.dumps(release("o2", parties=None, awards=[{"suppliers": suppliers[:1]}])), "f")], "value string, source_file string")
+    d = releases.party_observations(releases.latest_releases(releases.parse_lines(lines)))
+    assert sorted((x.ocid, x.raw_id, x.name, tuple(x.roles)) for x in d.collect()) == [("o1", "P1", "", ("buyer",)), ("o1", "S1", "B", ("supplier",)), ("o2", "S1", "B", ("supplier",))]
+    assert shuffles(d) == (1, 0)
+
+
+def test_a_snapshot_shuffles_the_choice_once(spark, folder):
+    r = releases.read_releases(spark, folder).select("ocid", "id", "date", "source_file")
+    d = releases.aligned_snapshot(r, releases.latest_releases(r))
+    assert sorted((x.ocid, x.id) for x in d.collect()) == [("o1", "o1-1"), ("o3", "o3-1")]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2
