@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
-from ..session import cut, spread
+from ..session import cut, small, spread
 
 # Headings at which a clause begins.
 HEADINGS = [
@@ -101,21 +102,39 @@ def rank_chunks(found: DataFrame, terms: list[str], k: int = 8, key: str = "chun
     return d.where(n > 0).withColumn("score", score).drop("__own", "__both").orderBy(F.desc("score"), F.desc(key)).limit(k)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's words → a row for each different one, and how often it has it."""
+    for b in batches:
+        for i in range(0, b.num_rows, 500):
+            part = b.slice(i, 500)
+            at, terms, n = [], [], []
+            for k, ws in enumerate(part.column(1).to_pylist()):
+                c = Counter(ws or ())
+                at += [k] * len(c)
+                terms += c.keys()
+                n += c.values()
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int32())), pa.array(terms, pa.string()), pa.array(n, pa.int64())], names=["doc_id", "term", "tf"])
+
+
 def tf_idf_top(docs: DataFrame, queries: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`query_id, doc_id, score, rank`: the k documents with the greatest cosine of TF-IDF vectors for each query (`query_id, query`).
 
-    Only terms that a query has are kept, so the posting lists that are joined follow the queries; weights come from all documents.
+    Words are counted where the document stands: only terms with their counts and sums per document are shuffled, as long as the vocabulary
+    is small enough for every task (`small`); a larger one is joined by term. Rows of one id are one document; weights come from all documents.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[0-9a-z_]+"), F.lit(0))
-    tf = cut(docs.select(F.col(key).alias("doc_id"), F.explode(words(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    whole = docs.select(F.col(key).alias("doc_id"), words(F.col(text)).alias("ws"))
+    if not docs.groupBy(key).count().where("count > 1").isEmpty():
+        whole = whole.groupBy("doc_id").agg(F.flatten(F.collect_list("ws")).alias("ws"))
     n = docs.count()
-    idf = cut(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf")))
+    seen = whole.select(F.explode(F.array_distinct("ws")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = cut(seen.select("term", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf")))
     asked = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     q = cut(asked.join(idf, "term").withColumn("qw", F.col("qtf") * F.col("idf")))
     qnorm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    # Postings of the queries' terms first; the norm is only needed of the documents that have one.
-    dot = tf.join(q.select("query_id", "term", "idf", "qw"), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot"))
-    w = tf.join(dot.select("doc_id").distinct(), "doc_id", "left_semi").join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    tf = whole.where("doc_id is not null").mapInArrow(_counted, f"doc_id {docs.schema[key].dataType.simpleString()}, term string, tf long")
+    dot = tf.join(small(q.select("query_id", "term", "idf", "qw")), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot"))
+    w = tf.join(small(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     s = dot.join(norm, "doc_id").join(qnorm, "query_id").select("query_id", "doc_id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
     return s.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)

@@ -165,3 +165,17 @@ def test_components_of_a_hub_with_the_largest_id(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.component for r in connected_components(df, chunk=400).collect()}
     assert got == slow_components(edges)
+
+
+def test_tf_idf_counts_words_where_the_document_stands(spark):
+    from quillgraph.operators import documents as D
+
+    docs = spark.createDataFrame([(1, "red chairs red"), (2, "blue chairs"), (3, None), (4, "red"), (5, "tables")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "Red chairs"), (2, "nothing here")], "query_id int, query string")
+    d = D.tf_idf_top(docs, q, 5)
+    found = [(r.query_id, r.doc_id, r["rank"]) for r in d.orderBy("rank").collect()]
+    assert found == [(1, 1, 1), (1, 4, 2), (1, 2, 3)]
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan  # the words of the documents are not shuffled
+    twice = spark.createDataFrame([(1, "red chairs"), (1, "red"), (2, "blue chairs"), (3, None), (4, "red"), (5, "tables")], "doc_id long, text string")
+    assert [r.doc_id for r in D.tf_idf_top(twice, q, 5).orderBy("rank").collect()] == [1, 4, 2]
