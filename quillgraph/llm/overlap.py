@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations, groupby
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,8 @@ from .neardup import SLOTS
 TRAIN, HELD_OUT = ("train",), ("dev", "final_test", "ood")
 #: Characters of a hashed gram, and grams of a window.
 GRAM, WINDOW = 12, 8
-#: Rarest fingerprints by which a text is looked up (an edit spoils two or three); one of more texts than HOT in pairs of the PAIRED rarest.
-LOOKUP, HOT, PAIRED = 8, 500, 6
+#: A fingerprint of more texts than this is looked up together with a second one.
+HOT = 500
 #: Part of the longer text's fingerprints that candidates share, and of the shorter text that their chained seeds cover.
 SKETCH, COVERED = 0.4, 0.7
 #: A word of more than this share of the questions belongs to the templates, unless it is mostly a value of the plan (a name, a kind).
@@ -122,16 +122,31 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, pa.list_(pa.int64()))], names=["text_id", "question", "train", "held", "prints"])
 
 
+def lookup_keys(prints: list[int], freq: np.ndarray, hot: int) -> list[int]:
+    """Keys of which texts with SKETCH of the longer one's fingerprints in common share at least one.
+
+    With `need` fingerprints in common, the rarest common one is among the first n - need + 1 of either text in order of frequency, and the
+    next one among the first n - need + 2. A fingerprint of at most `hot` texts is a key by itself; one of more is one with each that may
+    come next, and also by itself in a text so short that one in common is enough.
+    """
+    n = len(prints)
+    need = max(1, int(np.ceil(SKETCH * n - 1e-9)))
+    by = sorted((int(freq[p & (SLOTS - 1)]), p) for p in prints)
+    keys = []
+    for i, (k, p) in enumerate(by[: n - need + 1]):
+        if k < 2:
+            continue  # no other text has it
+        if k <= hot or need == 1:
+            keys.append(p)
+        if k > hot:
+            keys += [xxhash.xxh3_64_intdigest(f"{p} {q}") >> 1 for _, q in by[i + 1 : n - need + 2]]
+    return keys
+
+
 def _lookups(freq: np.ndarray, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by = sorted((n, p) for p in x if (n := int(freq[p & (SLOTS - 1)])) > 1)
-                keys = [p for n, p in by[:LOOKUP] if n <= hot]
-                if sum(n <= hot for n, _ in by[:LOOKUP]) < LOOKUP // 2:
-                    keys += [xxhash.xxh3_64_intdigest(f"{p} {q}") >> 1 for (_, p), (_, q) in combinations(by[:PAIRED], 2)]
-                rows += [(k, i) for k in keys]
+            rows = [(k, i) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k in lookup_keys(x, freq, hot)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["k", "text_id"])
 
     return run
@@ -226,8 +241,8 @@ def learnt_neutral(texts: DataFrame, members: DataFrame, plans: DataFrame, pairs
 def same_questions(texts: DataFrame, members: DataFrame, plans: DataFrame, hot: int = HOT) -> DataFrame:
     """`a, b, coverage` (a in training, b held out) of the texts that ask the same in other words that ask nothing.
 
-    Fingerprints are winnowed from each text. Texts that share one of their LOOKUP rarest fingerprints across the splits (those of more
-    than `hot` texts are paired, if a text has few others) and SKETCH of the longer sketch are candidates; nothing is capped. Equal fingerprints are chained in line and
+    Fingerprints are winnowed from each text. All texts that share SKETCH of the longer sketch across the splits are candidates, found by
+    prefixes of their fingerprints from rare to frequent (`lookup_keys`); nothing is capped. Equal fingerprints are chained in line and
     extended; what is left of either text are the words by which they differ. A pair is the same request if every such word is a misspelt
     template word or is learnt from the plans to ask nothing, its seeds cover COVERED of the shorter text or all its words are only moved,
     and names, years and codes stand by the same words. Frequencies come from a table of fixed size over all texts.

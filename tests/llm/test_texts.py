@@ -259,3 +259,26 @@ def test_correct_text_of_languages_without_a_dictionary_is_left_alone(spark):
     df = spark.createDataFrame([*docs, *((i, t, None) for i, t in enumerate(FOREIGN))], "doc_id long, text string, lang string")
     got = {r.doc_id: (r.text, r.garbled) for r in mojibake.repair_corpus(df).where("doc_id < 1000").collect()}
     assert got == {i: (t, False) for i, t in enumerate(FOREIGN)}
+
+
+def test_texts_that_share_enough_share_a_key():
+    import random
+
+    import numpy as np
+
+    from quillgraph.llm import overlap as V
+
+    rng = random.Random(5)
+    texts = [sorted(rng.sample(range(60), rng.randint(1, 25))) for _ in range(150)]
+    # Ten fingerprints that few texts have and eight that both have, but that are more frequent: none of the eight rarest is shared.
+    texts += [[*range(100, 110), *range(200, 208)], [*range(110, 120), *range(200, 208)], list(range(100, 120)), list(range(100, 120))] + [list(range(200, 208))] * 3
+    freq = np.zeros(V.SLOTS, dtype=np.int64)
+    for t in texts:
+        for p in t:
+            freq[p] += 1
+    for hot in (3, 20, 500):
+        keys = [set(V.lookup_keys(t, freq, hot)) for t in texts]
+        for i, a in enumerate(texts):
+            for j, b in enumerate(texts[:i]):
+                if len(set(a) & set(b)) >= V.SKETCH * max(len(a), len(b)):
+                    assert keys[i] & keys[j], (a, b, hot)
