@@ -308,24 +308,26 @@ def observed_side(obs: DataFrame) -> DataFrame:
 
 
 def candidates(obs: DataFrame, orgs: DataFrame, pairs: DataFrame | None) -> DataFrame:
-    """`obs_id, org_no` that share their own words (as spelt, misspelt, cut off or run together), a whole postcode and kind (as far as they tell one), or are given as a pair."""
+    """`obs_id, org_no` that share their own words (any number; as spelt, misspelt, cut off or run together), a whole postcode and kind (as far as they tell one), or are given as a pair."""
     texts = obs.select("obs_id", F.explode(F.array("name", "legal_name")).alias("name")).where("name is not null").distinct()
     o = cut(spelling.parse_names(cut(texts.select(F.col("obs_id").alias("id"), "name", F.lit(1).cast("long").alias("n")))))
     c = cut(spelling.parse_names(orgs.select(F.col("org_no").alias("id"), F.col("c_name").alias("name"), F.lit(1).cast("long").alias("n")).where("name is not null")))
     known = c.select(F.explode("core").alias("word")).distinct()
     asked = o.select(F.explode("core").alias("word"), "cut").select("word", F.array_contains("cut", F.col("word")).alias("short")).groupBy("word").agg(F.max("short").alias("short"))
-    roles = known.withColumn("index", F.lit(True)).join(asked, "word", "full")
+    roles = known.withColumn("index", F.lit(True)).join(asked.withColumn("asked", F.lit(True)), "word", "full")
+    # A word that the register has may still be another one misspelt, so every word of four letters or more is looked up.
     roles = roles.select(
-        "word", F.coalesce("index", F.lit(False)).alias("index"), (F.col("index").isNull() & F.length("word").between(4, 24)).alias("query"),
+        "word", F.coalesce("index", F.lit(False)).alias("index"), (F.col("asked").isNotNull() & (F.length("word") > 3)).alias("query"),
         (F.coalesce("short", F.lit(False)) & (F.length("word") > 2)).alias("short"),
     )
     near = spelling.trie_join(cut(roles)).groupBy("word").agg(F.collect_list(F.struct("target", "edits")).alias("near"))
     per = o.select("id", F.explode("core").alias("word")).distinct().join(near, "word").groupBy("id").agg(F.collect_list(F.struct("word", "near")).alias("near"))
     keys = o.select("id", "core").join(per, "id", "left").select("id", "core", "near").mapInArrow(spelling._keyed, "id long, key string, edits int")
-    whole = c.where(F.size("core") == 2).select(F.array_join("core", " ").alias("key"), F.col("id").alias("org_no"))
-    single = c.where(F.size("core") == 1).select(F.col("core")[0].alias("key"), F.col("id").alias("org_no"))
-    alone = o.where(F.size("core") == 1).select("id", F.col("core")[0].alias("key"))
-    by_name = keys.select("id", "key").join(whole, "key").unionByName(alone.join(single, "key")).select(F.col("id").alias("obs_id"), "org_no")
+    # Two words that the register writes as one; of register names of more than two words also every two, as an observation may leave out one.
+    joined = o.where(F.size("core") == 2).select("id", F.explode(F.array(F.array_join("core", ""), F.array_join(F.reverse("core"), ""))).alias("key"))
+    every_two = F.flatten(F.transform("core", lambda x, i: F.transform(F.slice("core", i + 2, F.size("core")), lambda y: F.concat_ws(" ", x, y))))
+    whole = c.select(F.col("id").alias("org_no"), F.explode(F.concat(F.array(F.array_join("core", " ")), F.when(F.size("core") > 2, every_two).otherwise(F.array().cast("array<string>")))).alias("key"))
+    by_name = keys.select("id", "key").unionByName(joined).join(whole, "key").select(F.col("id").alias("obs_id"), "org_no")
     # At one place only a name of the same kind can be another one of the organisation; a name without kind may be any.
     place = lambda d, key, pc, kinds: d.where(F.length(pc) >= 5).select(key, F.col(pc).alias("pc")).join(kinds.select(F.col("id").alias(key), "kind").distinct(), key, "left").select(key, "pc", F.coalesce("kind", F.lit("")).alias("kind"))
     here, there = cut(place(obs, "obs_id", "pc", o)), cut(place(orgs, "org_no", "c_pc", c))

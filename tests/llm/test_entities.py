@@ -163,3 +163,13 @@ def test_links(spark):
     assert {(r.obs_id, r.org_no) for r in linkage.matches(o, c, pairs).collect()} == got
     assert linkage.matches(o.limit(0), c).count() == 0 and linkage.matches(o, c.where(F.lit(False))).count() == 0
     assert all(0 <= r.confidence <= 1 for r in linkage.link(o, c).collect())
+
+
+def test_register_names_of_any_number_of_words_are_candidates(spark):
+    from quillgraph.llm import linkage as K
+
+    o = "obs_id long, name string, legal_name string, pc string"
+    obs = spark.createDataFrame([(1, "Newcastle Upon Tyne Quayside Council", None, ""), (2, "Harbury Nesting Velvon Council", None, ""), (3, "Oakminster School", None, ""), (4, "Ashford Melbourn School", None, "")], o)
+    orgs = spark.createDataFrame([(10, "Harbury Nestling Velvon Council", ""), (11, "Oakminstre School", ""), (12, "Ashfort Melbourn School", ""), (13, "Ashford Other School", "")], "org_no long, c_name string, c_pc string")
+    got = {(r.obs_id, r.org_no) for r in K.candidates(obs, orgs, None).collect()}
+    assert {(2, 10), (3, 11), (4, 12)} <= got
