@@ -20,6 +20,8 @@ from .orgnames import parse, same_given
 EDITS = 2
 #: A word beside so many different words, and in this share of the names, says what kind of organisation it is.
 LEARNT, LEARNT_SHARE = 50, 0.01
+#: Letters from which one word may be two of four run together.
+SPLIT = 8
 
 
 class Automaton:
@@ -331,11 +333,22 @@ def with_learnt_kinds(parsed: DataFrame) -> DataFrame:
     return parsed.select("id", "n", F.when(move, own).otherwise(F.col("core")).alias("core"), F.when(move, F.array_except("cut", kinds)).otherwise(F.col("cut")).alias("cut"), F.when(move, kind).otherwise(F.col("kind")).alias("kind"), "legal", "given")
 
 
+def run_together(parsed: DataFrame, groups: DataFrame) -> DataFrame:
+    """`id, key, edits` of the names of one long word that is two own words of a group, in either order, run together and misspelt."""
+    one = parsed.where((F.size("core") == 1) & (F.length(F.get("core", F.lit(0))) >= SPLIT)).select("id", F.get("core", F.lit(0)).alias("word"))
+    x = F.split("key", " ")
+    two = groups.select("key").distinct().where(F.size(x) == 2).select("key", F.explode(F.array(F.concat(x[0], x[1]), F.concat(x[1], x[0]))).alias("target"))
+    no, yes = F.lit(False), F.lit(True)
+    words = two.select(F.col("target").alias("word"), yes.alias("index"), no.alias("query"), no.alias("short"))
+    near = trie_join(words.unionByName(one.select("word", no.alias("index"), yes.alias("query"), no.alias("short")).distinct()))
+    return near.join(two, "target").join(one, "word").select("id", "key", (F.col("edits") + 1).alias("edits"))
+
+
 def name_groups(names: DataFrame) -> DataFrame:
     """`id, component` of the names (`id, name, n`) that belong to one organisation.
 
     A name is read as own words, kind, legal form and given name. Names of equal own words (any number, in any order), kind and given name
-    are one group. A name that is misspelt, cut off, run together or leaves out its kind is linked to the group that it comes nearest to, of the
+    are one group. A name that is misspelt, cut off, run together (and misspelt at once) or leaves out its kind is linked to the group that it comes nearest to, of the
     same kind and given name as far as it tells them, that is met as often or more often; if two kinds come equally near it is linked to
     neither. Every word of four letters or more is looked up, whatever its frequency.
     """
@@ -353,6 +366,7 @@ def name_groups(names: DataFrame) -> DataFrame:
     whole = parsed.where(F.size("cut") == 0).withColumn("key", F.array_join("core", " "))
     own = whole.withColumn("group", F.xxhash64("key", "kind", "given"))
     groups = cut(own.groupBy("group", "key", "kind", "given").agg(F.sum("n").alias("weight"), F.collect_set("legal").alias("legals")))
+    keys = keys.unionByName(run_together(parsed, groups))
     named = parsed.select("id", "kind", "legal", "given", (F.size("core") == 2).alias("pair")).join(own.select("id", "group"), "id", "left").join(groups.select("group", F.col("weight").alias("own")), "group", "left").withColumnRenamed("group", "mine")
     of_two = F.size(F.split("key", " ")) == 2
     g = groups.select("key", "group", of_two.alias("gpair"), F.col("kind").alias("gkind"), F.col("given").alias("ggiven"), "legals", "weight")

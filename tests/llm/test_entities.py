@@ -101,6 +101,14 @@ def test_names_without_two_own_words_form_groups(spark):
     assert lead["Newcastle upon Tyne H.A."] == rows[18] and lead["Ashford Housing Association"] == "Ashford Housing Association"
 
 
+def test_names_run_together_and_misspelt_at_once(spark):
+    rows = [("Govohurst Fatipool NHS Foundation Trust",)] * 5 + [("govohhurstfatipool nhs foundation trust",), ("FATIPOLOGOVOHURST NHS Foundation Trust",), ("Govohhurstfatipool University",)]
+    df = spark.createDataFrame([(a, None) for (a,) in rows], "buyer_name string, supplier_name string")
+    lead = {r.name: r.leader for r in names.variant_groups(df, ["buyer_name", "supplier_name"]).collect()}
+    assert lead["govohhurstfatipool nhs foundation trust"] == lead["FATIPOLOGOVOHURST NHS Foundation Trust"] == rows[0][0]
+    assert lead["Govohhurstfatipool University"] == "Govohhurstfatipool University"
+
+
 def test_alternating_directions_reach_the_minimum():
     # min 2 (1 - x)^2 + (x)^2 + 4 max(0, 0.8 - y)^2 with x + y <= 1
     g = linkage.Ground()
