@@ -1,12 +1,14 @@
 """Components, skew-safe joins, relational helpers, quality checks and samplers."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import quality as Q
 from quillgraph.operators import relational as R
+from quillgraph.operators import resolution as E
 from quillgraph.operators.components import connected_components
 from quillgraph.operators.skew import heavy_keys, lookup_join, ranked
 
@@ -179,3 +181,11 @@ def test_tf_idf_counts_words_where_the_document_stands(spark):
     assert "hashpartitioning(term" not in plan  # the words of the documents are not shuffled
     twice = spark.createDataFrame([(1, "red chairs"), (1, "red"), (2, "blue chairs"), (3, None), (4, "red"), (5, "tables")], "doc_id long, text string")
     assert [r.doc_id for r in D.tf_idf_top(twice, q, 5).orderBy("rank").collect()] == [1, 4, 2]
+
+
+def test_characters_of_names_are_never_broadcast(spark):
+    rows = spark.createDataFrame([("nor", 1, "northern supplies"), ("nor", 2, "northern suplies"), ("nor", 3, "norfolk county")], "block string, id long, norm string")
+    found = E.similar_within(rows)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x and re.search(r"\bk#", x)]
+    assert joins and all("strategy=merge" in x for x in joins)
+    assert [(r.a, r.b) for r in found.collect()] == [(1, 2)]
