@@ -126,6 +126,43 @@ def test_evidence_in_rows(spark, folder):
     assert rows_of(made, "contract_node_id", "match_scope", "n") == rows_of(old, "contract_node_id", "match_scope", "n") != []
 
 
+def checks_both_ways(spark, lines, aliases):
+    """The graph's checks of its tables, and those told in the releases."""
+    r = releases.latest_releases(releases.parse_lines(spark.createDataFrame([(json.dumps(x), "f") for x in lines], "value string, source_file string")))
+    orgs = spark.createDataFrame([("GB-NIC-1", "A Council", "UKI", '["UKI"]', 1), ("GB-COH-7", "B Ltd", "", "[]", 2)], "canonical_id string, canonical_name string, address_region string, address_regions string, n_aliases int")
+    aliases = spark.createDataFrame(aliases, "raw_id string, canonical_id string")
+    assert G.tellable(aliases)
+    asked = r.select("ocid", releases.blank(F.col("buyer.id")).alias("buyer_raw_id"), releases.blank(F.col("tender.classification.id")).alias("tender_cpv_id"), G.text_ids().alias("text_ids"), G.checked().alias("checked"))
+    columns = ["area", "name", "status", "n_bad"]
+    made = G.integrity_of(asked, orgs, aliases)
+    return rows_of(G.integrity(G.build(releases.extract(r), orgs, aliases)), *columns), rows_of(made, *columns), made
+
+
+def test_checks_are_told_in_rows(spark):
+    one = lambda i, *s: {"id": i, "suppliers": [{"id": x} for x in s]}
+    lines = [
+        release(), release("o2", awards=[one("a1", "GB-COH-7"), one("a2", "stranger"), one("a3"), one("a4", "lost")], buyer={"id": "lost"}), release("o3", awards=None, tender=None, buyer=None),
+        # Two nodes of one award, and ids that only look alike because a colon stands in them.
+        release("o4", awards=[{**one("b", "GB-COH-7"), "title": "x"}, {**one("b", "GB-FTS-9"), "title": "y"}]), release("o5:x", awards=[one("a", "GB-COH-7")]), release("o5", awards=[one("x:a", "GB-COH-7")]), release("o6", awards=[one("x:a")], tender={"title": "t"}),
+    ]
+    old, new, _ = checks_both_ways(spark, lines, [("GB-NIC-1", "GB-NIC-1"), ("GB-COH-7", "GB-COH-7"), ("GB-FTS-9", "GB-COH-7"), ("lost", "nobody"), ("lost", "GB-COH-7"), ("lost", "GB-COH-7")])
+    assert new == old
+    assert {(a, n): k for a, n, _, k in new if k} == {
+        ("buyer_of", "edge_id is unique"): 1, ("buyer_of", "organisation exists"): 4, ("categorized_by", "edge_id is unique"): 2, ("contract_nodes", "contract_node_id is unique"): 2, ("contract_nodes", "has a supplier"): 4,
+        ("supplier_of", "edge_id is unique"): 1, ("supplier_of", "organisation exists"): 1,
+    }
+    ids = spark.createDataFrame([("GB-NIC:1",), ("contractor",), ("a:contract:b",), (None,)], "canonical_id string")
+    assert G.tellable(ids.where("canonical_id = 'GB-NIC:1'")) and [G.tellable(ids.where(w)) for w in ("canonical_id = 'contractor'", "canonical_id like 'a:%'", "canonical_id is null")] == [False] * 3
+
+
+def test_integrity_keeps_no_table_of_the_graph(spark, monkeypatch):
+    from quillgraph.plans import catalogue_graph as C
+
+    monkeypatch.setattr(C, "cut", lambda df: pytest.fail("a table is kept"))
+    d = C.graph_integrity(spark, "/root/testdata/sf0.001")
+    assert len(d.collect()) == 16 and {(r.status, r.n_bad) for r in d.collect()} == {("PASS", 0)}
+
+
 def test_broken_ends_fail_and_stop_the_write(spark, folder, tmp_path):
     g = graph(spark, folder)
     g["supplier_of"] = g["supplier_of"].withColumn("canonical_id", F.lit("nobody"))
