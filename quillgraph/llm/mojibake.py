@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import zstandard as zstd
@@ -13,26 +14,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 
 # Single-byte encodings as which UTF-8 or Windows text is commonly misread.
 CODECS = ["cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-2", "koi8-r", "iso8859-15", "cp866", "cp1253"]
 SINGLE = ["cp1251", "mac_roman", "cp1250", "iso8859-2", "cp437", "cp850", "koi8-r", "cp1253"]
 #: Languages that get a dictionary: those of at least this share of the documents, at most so many.
 LANGUAGE_SHARE, LANGUAGES = 0.005, 8
-#: Documents read for a language's dictionary, among about how many of it they are chosen, and the dictionary's size in bytes.
-SAMPLE, POOL, DICTIONARY = 400, 10_000, 16_384
+#: Size of a language's dictionary in bytes.
+DICTIONARY = 16_384
 #: Level of compression.
 LEVEL = 3
 #: Bytes that each step of a chain costs; a single-byte exchange of what may be correct as it stands must save more.
 STEP, DOUBT = 1.0, 1.0
-#: Bytes that a character costs which neither the sample of clean text nor any European alphabet in a word of one script has.
+#: Bytes that a character costs which neither clean text nor any European alphabet in a word of one script has.
 UNUSUAL = 3.0
-#: Part of a sentence's plain words that are frequent in a language, and the part of its sampled documents that have such a word.
-FAMILIAR, FREQUENT = 0.35, 0.01
+#: Part of a sentence's plain words that are frequent in a language, and the parts of its clean documents that have such a word, and a usual character.
+FAMILIAR, FREQUENT, USUAL = 0.35, 0.01, 0.0075
+#: Different counted texts that a task keeps before it passes them on.
+KEPT = 500_000
 #: Part of a sentence's other letters that UTF-8 misread as Cyrillic or Greek accounts for at least.
 SPELT = 0.8
 DAMAGE = re.compile("[�\u0080-\u009f]")
+# Signs of damage: the characters with which misread UTF-8 begins or goes on, those that Latin text lacks.
+_DAMAGED = re.compile("[\u0080-\u009f\ufffd\u2500-\u257f√∞≈Γ¬†‡]|[ÂÃÄÅÐÑâ][\u00a0-\u00bf\u2013-\u2122ƒŒœŠšŽžŸˆ˜]|[A-Za-z][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z0-9£]")
 _SENTENCE = re.compile(r"[^\n.;!?]+[.;!?]*|\n+")
 _OTHER = re.compile("[^\\x00-\x7f]")
 _DIGITS = re.compile("[0-9]")
@@ -153,7 +158,7 @@ class Judge:
     def familiar(self, s: str, text: str) -> bool:
         """Whether a sentence (of under three plain words: its text) is in a language of the dictionaries, by its plain words.
 
-        In another language a letter that the sample lacks is not odd, and sizes under the dictionaries prove nothing.
+        In another language a letter that clean text lacks is not odd, and sizes under the dictionaries prove nothing.
         """
         ws = _PLAIN.findall(s.lower())
         if len(ws) < 3 and s is not text:
@@ -161,7 +166,7 @@ class Judge:
         return bool(ws) and sum(w in self.frequent for w in ws) >= FAMILIAR * len(ws)
 
     def odd(self, s: str, familiar: bool) -> int:
-        """Characters that neither the sample has nor a word of one script; in a familiar sentence, those the sample lacks."""
+        """Characters that neither clean text has nor a word of one script; in a familiar sentence, those clean text lacks."""
         n = 0
         for w in _WORD.findall(s):
             if not w.isascii():
@@ -236,42 +241,81 @@ def repair(text: str, judge: Judge) -> tuple[str, bool]:
     return text, hit or bool(DAMAGE.search(text))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> tuple[list[bytes], frozenset[str], frozenset[str]]:
-    """One zstandard dictionary per language from at most `sample` documents of it, the characters of clean text and its frequent plain words.
-
-    Languages are the LANGUAGES most frequent codes with LANGUAGE_SHARE of the documents. Of each, documents are taken by a hash of their
-    text, about POOL in one pass and of these the first without signs of damage; a language with too little text to train on gives a raw
-    dictionary of what there is. A character is usual if three or more of the chosen documents have it, a plain word frequent if FREQUENT of a language's have it.
+def pieces(text: str) -> Iterator[str]:
+    """The words of a text with other than ASCII characters between their neighbours in the sentence, digits alike."""
+    for m in _SENTENCE.finditer(text):
+        if not m.group().isascii():
+            ws = _DIGITS.sub("0", m.group()).split(" ")
+            for i, w in enumerate(ws):
+                if not w.isascii():
+                    yield " ".join(ws[max(i - 1, 0) : i + 2])
+
+
+@lru_cache(200_000)
+def _plain_in(token: str) -> tuple[str, ...]:
+    return tuple(_PLAIN.findall(token))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`code, kind, piece, n`: documents and clean ones of each language, how many of these have a character or plain word, and how often each piece stands in them."""
+    count: dict[tuple[str, str], Counter] = {}
+
+    def out() -> pa.RecordBatch:
+        rows = [(code, kind, piece, n) for (code, kind), of in count.items() for piece, n in of.items()]
+        count.clear()
+        cols = list(zip(*rows)) or [()] * 4
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64())], names=["code", "kind", "piece", "n"])
+
+    for b in batches:
+        for code, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            of = lambda kind: count.setdefault((code, kind), Counter())  # noqa: B023, E731
+            of("documents")[""] += 1
+            if not code or t is None or len(t) <= 40 or not t.isascii() and _DAMAGED.search(t):
+                continue
+            of("clean")[""] += 1
+            of("word").update(set(chain.from_iterable(map(_plain_in, set(t.lower().split())))))
+            if not t.isascii():
+                of("char").update(set(_OTHER.findall(t)))
+                of("piece").update(pieces(t))
+        if sum(map(len, count.values())) > KEPT:
+            yield out()
+    yield out()
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[bytes], frozenset[str], frozenset[str]]:
+    """One dictionary per language, the characters of clean text and the languages' frequent plain words, counted over all documents.
+
+    Languages are the LANGUAGES most frequent codes with LANGUAGE_SHARE of the documents. All their documents without signs of damage are
+    counted: a language's dictionary is its most frequent `pieces` as far as they fit, the most frequent last, where they are cheapest to
+    refer to. A character is usual if three or more of a language's clean documents and USUAL of them have it, a plain word
+    frequent if three or more and FREQUENT of them have it.
     """
     code = F.substring(F.lower(F.trim(F.col(lang))), 1, 2)
-    counts = docs.select(code.alias("code")).where("code rlike '^[a-z]{2}$'").groupBy("code").count()
-    most = counts.orderBy(F.desc("count"), "code").limit(LANGUAGES).collect()
-    least = LANGUAGE_SHARE * docs.count()
-    n_of = {r[0]: r[1] for r in most if r[1] >= least}
-    if not n_of:
+    d = docs.select(F.when(code.rlike("^[a-z]{2}$"), code).otherwise("").alias("code"), F.col(text).alias("t"))
+    g = cut(spread(d).mapInArrow(_counted, "code string, kind string, piece string, n long").groupBy("code", "kind", "piece").agg(F.sum("n").alias("n")))
+    size = {(r.code, r.kind): r.n for r in g.where("kind in ('documents', 'clean')").collect()}
+    n_of = {c: n for (c, kind), n in size.items() if kind == "documents"}
+    most = sorted((c for c in n_of if c), key=lambda c: (-n_of[c], c))[:LANGUAGES]
+    clean_of = {c: size.get((c, "clean"), 0) for c in most if n_of[c] >= LANGUAGE_SHARE * sum(n_of.values())}
+    if not clean_of:
         return [], frozenset(), frozenset()
-    top = F.create_map(*[F.lit(x) for c, n in n_of.items() for x in (c, int(min(1.0, POOL / n) * 2**53) * 2**10 - 1)])
-    d = docs.select(code.alias("code"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).where(F.shiftrightunsigned("h", 1) <= F.try_element_at(top, F.col("code")))
-    # Without damage: none of the characters with which misread UTF-8 begins or goes on, none that Latin text lacks.
-    d = d.where(F.length("t") > 40).where(~F.col("t").rlike("[\\u0080-\\u009f\\ufffd\\u2500-\\u257f√∞≈Γ¬†‡]|[ÂÃÄÅÐÑâ][\\u00a0-\\u00bf\\u2013-\\u2122ƒŒœŠšŽžŸˆ˜]|[A-Za-z][\\u0400-\\u04ff]|[\\u0400-\\u04ff][A-Za-z0-9£]"))
-    first = W.partitionBy("code").orderBy("h", "t")  # over about POOL rows of a language
-    chosen = d.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).select("code", "t").collect()
-    dictionaries, count, frequent = [], {}, set()
-    for language in sorted(n_of):
-        texts = sorted(r.t for r in chosen if r.code == language)
-        for t in texts:
-            for c in set(t):
-                count[c] = count.get(c, 0) + 1
-        words = Counter(w for t in texts for w in set(_PLAIN.findall(t.lower())))
-        frequent.update(w for w, n in words.items() if n >= max(3, FREQUENT * len(texts)))
-        raw = [t.encode() for t in texts]
-        if not raw:
-            continue
-        try:
-            dictionaries.append(zstd.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, raw)) // 8)), raw).as_bytes())
-        except zstd.ZstdError:
-            dictionaries.append(b"".join(raw)[-DICTIONARY:])
-    return dictionaries, frozenset(c for c, n in count.items() if n >= 3), frozenset(frequent)
+    g = g.where(F.col("code").isin(*clean_of))
+    share = F.create_map(*[F.lit(x) for c, n in clean_of.items() for x in (c, FREQUENT * n)])[F.col("code")]
+    frequent = frozenset(r.piece for r in g.where((F.col("kind") == "word") & (F.col("n") >= 3) & (F.col("n") >= share)).select("piece").collect())
+    usual = frozenset(r.piece for r in g.where("kind = 'char' and n >= 3").collect() if r.n >= USUAL * clean_of[r.code])
+    # No more pieces than half the bytes go to the driver, as no more fit.
+    order = W.partitionBy("code").orderBy(F.desc("n"), "piece")
+    top = g.where("kind = 'piece'").withColumn("r", F.row_number().over(order)).where(F.col("r") <= DICTIONARY // 2).collect()
+    dictionaries = []
+    for language in sorted(clean_of):
+        raw = b""
+        for r in sorted((r for r in top if r.code == language), key=lambda r: r.r):
+            if len(more := f"{r.piece} ".encode() + raw) > DICTIONARY:
+                break
+            raw = more
+        if len(raw) >= 8:  # a shorter one is none to zstandard
+            dictionaries.append(raw)
+    return dictionaries, usual, frequent
 
 
 def repair_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -280,7 +324,7 @@ def repair_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     Each sentence is tried under the chains of wrong decodings; the form with the least description length (compressed size under the best
     language dictionary, plus the chain's cost) is kept, the sentence itself if none is shorter. Replacement characters and C1 controls
     that stay show a decoding that cannot be undone. Null and empty texts come back as they are, not garbled. One pass, no shuffle of texts;
-    only the bounded sample for the dictionaries goes to the driver.
+    only counted words and what fits into the dictionaries go to the driver.
     """
     model = train(docs, text, lang)
     kind = docs.schema[key].dataType.simpleString()

@@ -243,6 +243,16 @@ def test_a_letter_the_sample_lacks_is_restored(spark):
     assert got == {i: (t, True) for i, (t, _) in cases.items()} | {i: (t, False) for i, t in good.items()}
 
 
+def test_the_model_is_counted_over_all_documents(spark):
+    """A piece, a word and a letter that only late documents of a language have count with all others."""
+    docs = [(i, f"The price of lot {i} is £{i},250 and it is paid within thirty days of the invoice.", "en") for i in range(3000)]
+    docs += [(3000 + i, f"The office in Köln has asked bidders for a quotation of lot {i} by next month.", "en") for i in range(60)]
+    dictionaries, usual, frequent = mojibake.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert len(dictionaries) == 1 and "in Köln has" in dictionaries[0].decode() and "ö" in usual and {"quotation", "invoice"} <= frequent
+    count = [c for b in mojibake._counted(iter([])) for c in b.to_pylist()]
+    assert count == [] and list(mojibake.pieces("At 12 £5 a day. Plain here. Café")) == ["00 £0 a", " Café"]
+
+
 FOREIGN = [
     "Zadavatel zajistí údržbu zařízení a služby v přístavu do 5 let, cena £5,000 bez daně.", "Autoritatea contractantă achiziționează servicii de curățenie și întreținere pentru școli.",
     "Zamawiający udzieli zamówienia na usługi sprzątania; część płatności nastąpi później.", "Az ajánlatkérő épület-karbantartási szolgáltatást rendel, a díj fizetése később történik, űrlap mellékelve.",
