@@ -181,3 +181,14 @@ def test_register_names_of_any_number_of_words_are_candidates(spark):
     orgs = spark.createDataFrame([(10, "Harbury Nestling Velvon Council", ""), (11, "Oakminstre School", ""), (12, "Ashfort Melbourn School", ""), (13, "Ashford Other School", "")], "org_no long, c_name string, c_pc string")
     got = {(r.obs_id, r.org_no) for r in K.candidates(obs, orgs, None).collect()}
     assert {(2, 10), (3, 11), (4, 12)} <= got
+
+
+def test_siblings_common_values_need_no_join(spark, monkeypatch):
+    from quillgraph.llm import linkage as L
+
+    plans, real = [], L.cut
+    monkeypatch.setattr(L, "cut", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or real(d))
+    first = spark.createDataFrame([(1, 7, 0.9, 0.0), (2, 7, 0.3, 0.0)], "obs_id long, org_no long, x double, residual double")
+    ground = spark.createDataFrame([(1, 7, "k", 5, [-1.0, 1.0, 4.0]), (2, 7, "k", 5, [1.0, 0.0, 1.0])], "obs_id long, org_no long, c_key string, sib long, rules array<double>")
+    got = {r.obs_id: r.x for r in L.agree(ground, first, L.Weights(), rounds=1).collect()}
+    assert set(got) == {1, 2} and abs(got[1] - got[2]) < 1e-9 and plans[0].count("Join ") == 1  # that of the rounds' first values
