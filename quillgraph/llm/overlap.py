@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.skew import lookup_join
 from ..session import cut, spread
 from .neardup import SLOTS
+from .orgnames import distance
 
 TRAIN, HELD_OUT = ("train",), ("dev", "final_test", "ood")
 #: Characters of a hashed gram, and grams of a window.
@@ -71,6 +74,47 @@ def unmatched(a: list[str], b: list[str], template: frozenset[str]) -> tuple[lis
     return left, right, read
 
 
+def _two_edits(a: str, b: str) -> bool:
+    """Whether some word is at most one edit from both."""
+    swaps = lambda w: (w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1))
+    return distance(a, b) <= 2 or any(_one_edit(x, b) for x in swaps(a)) or any(_one_edit(a, x) for x in swaps(b))
+
+
+def asking(template: frozenset[str], neutral: frozenset[str]) -> Callable[[list[str]], tuple[str, ...]]:
+    """What a text asks, from its words: the same for any two texts that `unmatched` and the neutral words can make one request.
+
+    Template words that one word may be read as are one class, with all words an edit away from them. Neutral words, those an edit away
+    from one, and classes that such a word may belong to are left out. All others stand for themselves.
+    """
+    long = lambda ws: sorted(w for w in ws if len(w) > 3 and w.isalpha())
+    ts, ns = long(template), long(neutral)
+    of = {t: t for t in ts}
+    for t, u in combinations(ts, 2):
+        if of[t] != of[u] and _two_edits(t, u):
+            old, new = of[u], of[t]
+            of = {w: new if c == old else c for w, c in of.items()}
+    left_out = {of[t] for t in ts if t in neutral or any(_two_edits(t, n) for n in ns)}
+    # Words an edit apart are equal or have a word in common that lacks a letter of the longer one or of both.
+    less = lambda w: {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+    near: dict[str, set[str]] = {}
+    for w in {*ts, *ns}:
+        for x in less(w):
+            near.setdefault(x, set()).add(w)
+
+    @lru_cache(500_000)
+    def told(w: str) -> str:
+        if w in neutral:
+            return ""
+        if len(w) < 4 or not w.isalpha():
+            return w
+        by = {x for k in less(w) for x in near.get(k, ()) if x == w or _one_edit(w, x)}
+        if any(x in neutral or of[x] in left_out for x in by):
+            return ""
+        return min((of[x] for x in by), default=w)
+
+    return lambda words: tuple(sorted(x for x in map(told, words) if x))
+
+
 def same_order(a: list[str], b: list[str], template: frozenset[str], neutral: frozenset[str], read: dict[str, str]) -> bool:
     """Whether two texts of the same asking words say the same of the same things: in one order, or with clauses moved whole.
 
@@ -112,14 +156,27 @@ def winnow(s: str) -> dict[int, int]:
     return out
 
 
+def _long(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _asked(template: frozenset[str], neutral: frozenset[str]):
+    """text_id, question, train, held → the same with a hash of what is asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = asking(template, neutral)
+        for b in batches:
+            asks = [_long(xxhash.xxh3_64_intdigest(" ".join(ask(s.split())))) for s in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(asks, pa.int64())], names=["text_id", "question", "train", "held", "asks"])
+
+    return run
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        prints = []
-        for s in b.column(1).to_pylist():
-            # Texts of other numbers never ask the same, so the numbers are part of every fingerprint.
-            numbers = " ".join(sorted({w for w in s.split() if any(c.isdigit() for c in w)}))
-            prints.append(sorted(xxhash.xxh3_64_intdigest(f"{h} {numbers}") >> 1 for h in winnow(s)))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, pa.list_(pa.int64()))], names=["text_id", "question", "train", "held", "prints"])
+        # Texts that ask something else are never the same request, so what is asked is part of every fingerprint.
+        prints = [sorted(xxhash.xxh3_64_intdigest(f"{h} {asks}") >> 1 for h in winnow(s)) for s, asks in zip(b.column(1).to_pylist(), b.column(4).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(prints, pa.list_(pa.int64()))], names=["text_id", "question", "train", "held", "prints"])
 
 
 def lookup_keys(prints: list[int], freq: np.ndarray, hot: int) -> list[int]:
@@ -168,18 +225,17 @@ def coverage(s: str, t: str) -> float:
     return covered / max(min(len(s), len(t)), 1)
 
 
-def _compared(template: frozenset[str], most: int | None):
-    """Pairs of texts → how far they agree and the words by which they differ (pairs that differ in more than `most` words left out)."""
+def _compared(template: frozenset[str], most: int):
+    """Pairs of texts → the words by which they differ (pairs that differ in more than `most` words left out)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, j, s, t in zip(*(b.column(k).to_pylist() for k in range(4))):
+            for s, t in zip(*(b.column(k).to_pylist() for k in range(2))):
                 left, right, _ = unmatched(s.split(), t.split(), template)
-                words = left + right
-                if most is None or len(words) <= most:
-                    rows.append((i, j, sorted(set(words))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["a", "b", "words"])
+                if len(left) + len(right) <= most:
+                    rows.append(sorted({*left, *right}))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["words"])
 
     return run
 
@@ -188,76 +244,97 @@ def _decided(template: frozenset[str], neutral: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, j, s, t, words in zip(*(b.column(k).to_pylist() for k in range(5))):
+            for i, j, s, t in zip(*(b.column(k).to_pylist() for k in range(4))):
+                x, y = s.split(), t.split()
+                left, right, read = unmatched(x, y, template)
+                words = {*left, *right}
                 # A word an edit away from one that asks nothing is that one misspelt.
                 spare = {w for w in words if w not in neutral and w not in template and w.isalpha() and any(len(w) > 3 and len(n) > 3 and _one_edit(w, n) for n in neutral)}
-                if neutral.issuperset(set(words) - spare):
-                    x, y = s.split(), t.split()
+                if neutral.issuperset(words - spare):
                     moved = sorted(x) == sorted(y)
                     c = coverage(s, t)
-                    if (c >= COVERED or moved) and same_order(x, y, template, neutral | spare, unmatched(x, y, template)[2]):
+                    if (c >= COVERED or moved) and same_order(x, y, template, neutral | spare, read):
                         rows.append((i, j, c))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["a", "b", "coverage"])
 
     return run
 
 
-def question_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members `row_id, text_id`; texts `text_id, question, train, held`) where rows whose questions are the same words are one text.
-
-    `rows` has `row_id, question, train, held`; a text is in both if any of its rows is.
-    """
+def read_rows(rows: DataFrame) -> DataFrame:
+    """`row_id, train, held, question, text_id, key, plan` of rows with an id: the question as plain words, the key of the plan, and a 64-bit hash of either (null where there is none)."""
+    split = F.lower(F.trim("split"))
     plain = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(F.lower("question"), "&", " and "), r"[^\p{L}\p{N}]+", " ")), r"\s+", " ")
-    d = rows.select("row_id", "train", "held", plain.alias("plain")).where("plain <> ''").withColumn("same", F.unhex(F.md5("plain")))
-    texts = cut(
-        d.groupBy("same").agg(F.min("row_id").alias("text_id"), F.any_value("plain").alias("question"), F.bool_or("train").alias("train"), F.bool_or("held").alias("held"))
-    )
-    return d.select("row_id", "same").join(texts.select("same", "text_id"), "same").select("row_id", "text_id"), texts.drop("same")
+    d = rows.select(
+        F.col("row_id").cast("long").alias("row_id"), F.coalesce(split.isin(*TRAIN), F.lit(False)).alias("train"), F.coalesce(split.isin(*HELD_OUT), F.lit(False)).alias("held"),
+        F.nullif(plain, F.lit("")).alias("question"), plan_key(F.col("gold_plan")).alias("key"),
+    ).where("row_id is not null")
+    hashed = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
+    return d.withColumns({"text_id": hashed("question"), "plan": hashed("key")})
+
 
+def template_words(every: DataFrame, n: int) -> frozenset[str]:
+    """Words of more than TEMPLATE_SHARE of the `n` different texts that are not mostly values of their plans."""
+    values = F.array_join(F.regexp_extract_all("key", F.lit("\u0001[^\u0001\u0002]*\u0001([^\u0002]*)"), 1), " ")
+    values = F.regexp_replace(F.lower(values), r"[^\p{L}\p{N}]+", " ")
+    texts = every.where("text_id is not null").select("text_id", "question", values.alias("v")).groupBy("text_id").agg(F.any_value("question").alias("question"), F.min("v").alias("v"))
+    said = texts.select(F.array_distinct(F.split("question", " ")).alias("ws"), F.col("v").isNotNull().alias("told"), F.split("v", " ").alias("v"))
+    said = said.select("told", "ws", F.array_intersect("ws", "v").alias("hit"))
+    each = said.select("told", F.explode(F.transform("ws", lambda w: F.struct(w.alias("w"), F.coalesce(F.array_contains("hit", w), F.lit(False)).alias("value")))).alias("x"))
+    often = each.groupBy("x.w").agg(F.count(F.lit(1)).alias("n"), F.count_if("told").alias("told"), F.count_if("x.value").alias("value"))
+    often = often.where((F.col("n") > max(3, TEMPLATE_SHARE * n)) & (2 * F.col("value") <= F.col("told")))
+    return frozenset(r[0] for r in often.select("w").collect() if not any(c.isdigit() for c in r[0]))  # fewer than words a question / TEMPLATE_SHARE
 
-def learnt_neutral(texts: DataFrame, members: DataFrame, plans: DataFrame, pairs: DataFrame, template: frozenset[str]) -> frozenset[str]:
+
+def learnt_neutral(every: DataFrame, slim: DataFrame, n: int, template: frozenset[str]) -> frozenset[str]:
     """Words that ask nothing: they come and go between wordings of one plan, and do not tell plans apart.
 
-    `plans` has `row_id, plan` (a key of what is asked) for the rows that tell it. Each text of a plan is compared with the plan's shortest
-    one; words by which few-word differences are made speak for themselves. Candidate `pairs` (`a, b, words`) of different plans that
-    differ in one or two words speak against these. What is collected is at most DIFFERING / SUPPORT_SHARE words.
+    `every` has `text_id, question`, `slim` the `text_id, plan` of the rows. Each text of a plan is compared with the plan's shortest one;
+    words by which few-word differences are made speak for themselves. Texts of different plans that differ in one or two of these words,
+    and in nothing else, speak against these; all are found, by what is left of the texts without them. What is collected is at most
+    DIFFERING / SUPPORT_SHARE words.
     """
-    t = texts.select("text_id", "question")
-    p = members.join(plans, "row_id").select("plan", "text_id").distinct()
-    p = cut(p.join(t, "text_id"))
-    base = p.groupBy("plan").agg(F.min(F.struct(F.length("question").alias("n"), "text_id", "question")).alias("base"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    same = lookup_join(p, base, "plan", "inner").where(F.col("text_id") != F.col("base.text_id"))
-    same = same.select(F.col("text_id").alias("a"), F.col("base.text_id").alias("b"), F.col("question").alias("s"), F.col("base.question").alias("t"))
-    for_it = same.mapInArrow(_compared(template, DIFFERING), "a long, b long, words array<string>").select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    one = p.groupBy("text_id").agg(F.min("plan").alias("plan"))
-    few = pairs.where(F.size("words").between(1, 2))
-    few = few.join(one.select(F.col("text_id").alias("a"), F.col("plan").alias("pa")), "a").join(one.select(F.col("text_id").alias("b"), F.col("plan").alias("pb")), "b").where("pa <> pb")
-    against = few.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("m"))
-    least = max(SUPPORT, int(SUPPORT_SHARE * texts.count()))
-    found = for_it.where(F.col("n") >= least).join(against, "w", "left").where(F.coalesce("m", F.lit(0)) <= AGAINST * F.col("n"))
-    return frozenset(r[0] for r in found.select("w").collect() if not any(c.isdigit() for c in r[0]))
-
-
-def same_questions(texts: DataFrame, members: DataFrame, plans: DataFrame, hot: int = HOT) -> DataFrame:
+    p = slim.where("text_id is not null and plan is not null").select("plan", "text_id").distinct()
+    several = p.withColumn("other", F.max("text_id").over(W.partitionBy("plan")) != F.min("text_id").over(W.partitionBy("plan"))).where("other").select("plan", "text_id")
+    t = every.where("text_id is not null").select("text_id", "question")
+    d = cut(several.hint("merge").join(t, "text_id").groupBy("plan", "text_id").agg(F.any_value("question").alias("question")))
+    base = d.groupBy("plan").agg(F.min(F.struct(F.length("question").alias("n"), "text_id", "question")).alias("base"))
+    same = lookup_join(d, base, "plan", "inner").where(F.col("text_id") != F.col("base.text_id"))
+    same = same.select(F.col("question").alias("s"), F.col("base.question").alias("t"))
+    for_it = same.mapInArrow(_compared(template, DIFFERING), "words array<string>").select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    support = {r[0]: r[1] for r in for_it.where(F.col("n") >= max(SUPPORT, int(SUPPORT_SHARE * n))).collect() if not any(c.isdigit() for c in r[0])}
+    if not support:
+        return frozenset()
+    ws, spoken = F.split("question", " "), F.array(*map(F.lit, sorted(support)))
+    own = every.where("text_id is not null and plan is not null").select("text_id", "plan", F.xxhash64(F.array_sort(F.filter(ws, lambda w: ~F.array_contains(spoken, w)))).alias("rest"), F.array_sort(F.filter(ws, lambda w: F.array_contains(spoken, w))).alias("words"))
+    plans = W.partitionBy("rest")
+    own = own.withColumn("other", F.max("plan").over(plans) != F.min("plan").over(plans)).where("other").select("rest", "plan", "text_id", "words").distinct()
+    own = cut(own)
+    x, y = own.select("rest", F.col("plan").alias("p"), "text_id", F.col("words").alias("x")), own.select("rest", F.col("plan").alias("q"), F.col("words").alias("y")).distinct()
+    more = F.array_except("x", "y")
+    met = x.join(y, "rest").where("p <> q").where((F.size(more) > 0) & (F.size(more) + F.size(F.array_except("y", "x")) <= 2) & (F.abs(F.size("x") - F.size("y")) <= 2))
+    against = {r[0]: r[1] for r in met.select("text_id", F.explode(more).alias("w")).groupBy("w").agg(F.count_distinct("text_id").alias("m")).collect()}
+    return frozenset(w for w, k in support.items() if against.get(w, 0) <= AGAINST * k)
+
+
+def same_questions(every: DataFrame, slim: DataFrame, hot: int = HOT) -> DataFrame:
     """`a, b, coverage` (a in training, b held out) of the texts that ask the same in other words that ask nothing.
 
-    Fingerprints are winnowed from each text. All texts that share SKETCH of the longer sketch across the splits are candidates, found by
-    prefixes of their fingerprints from rare to frequent (`lookup_keys`); nothing is capped. Equal fingerprints are chained in line and
-    extended; what is left of either text are the words by which they differ. A pair is the same request if every such word is a misspelt
-    template word or is learnt from the plans to ask nothing, its seeds cover COVERED of the shorter text or all its words are only moved,
-    and names, years and codes stand by the same words. Frequencies come from a table of fixed size over all texts.
+    Only texts that ask the same (`asking`) as another one across the splits are kept. Fingerprints are winnowed from each of them. All
+    that share SKETCH of the longer sketch across the splits are candidates, found by prefixes of their fingerprints from rare to frequent
+    (`lookup_keys`); nothing is capped. Equal fingerprints are chained in line and extended; what is left of either text are the words by
+    which they differ. A pair is the same request if every such word is a misspelt template word or is learnt from the plans to ask
+    nothing, its seeds cover COVERED of the shorter text or all its words are only moved, and names, years and codes stand by the same
+    words. Frequencies come from a table of fixed size over all texts kept.
     """
-    n = texts.count()
-    told = members.join(plans, "row_id").groupBy("text_id").agg(F.min("plan").alias("plan"))
-    values = F.array_join(F.regexp_extract_all("plan", F.lit("\u0001[^\u0001\u0002]*\u0001([^\u0002]*)"), 1), " ")
-    values = F.split(F.regexp_replace(F.lower(values), r"[^\p{L}\p{N}]+", " "), " ")
-    said = texts.join(told, "text_id", "left").select(F.array_distinct(F.split("question", " ")).alias("ws"), F.col("plan").isNotNull().alias("told"), values.alias("v"))
-    said = said.select("told", "ws", F.array_intersect("ws", "v").alias("hit"))
-    each = said.select("told", F.explode(F.transform("ws", lambda w: F.struct(w.alias("w"), F.coalesce(F.array_contains("hit", w), F.lit(False)).alias("value")))).alias("x"))
-    often = each.groupBy("x.w").agg(F.count(F.lit(1)).alias("n"), F.count_if("told").alias("told"), F.count_if("x.value").alias("value"))
-    often = often.where((F.col("n") > max(3, TEMPLATE_SHARE * n)) & (2 * F.col("value") <= F.col("told")))
-    template = frozenset(r[0] for r in often.select("w").collect() if not any(c.isdigit() for c in r[0]))  # fewer than words a question / TEMPLATE_SHARE
-    s = cut(spread(texts.select("text_id", "question", "train", "held")).mapInArrow(_sketches, "text_id long, question string, train boolean, held boolean, prints array<long>"))
+    n = slim.where("text_id is not null").select("text_id").distinct().count()
+    template = template_words(every, n)
+    neutral = learnt_neutral(every, slim, n, template)
+    t = every.where("text_id is not null and (train or held)").select("text_id", "question", "train", "held")
+    asked = spread(t).mapInArrow(_asked(template, neutral), "text_id long, question string, train boolean, held boolean, asks long")
+    alike = W.partitionBy("asks")
+    asked = asked.withColumn("met", F.bool_or("train").over(alike) & F.bool_or("held").over(alike) & (F.max("text_id").over(alike) != F.min("text_id").over(alike))).where("met")
+    texts = asked.groupBy("asks", "text_id").agg(F.any_value("question").alias("question"), F.bool_or("train").alias("train"), F.bool_or("held").alias("held"))
+    s = cut(texts.select("text_id", "question", "train", "held", "asks").mapInArrow(_sketches, "text_id long, question string, train boolean, held boolean, prints array<long>"))
     freq = np.zeros(SLOTS, dtype=np.int64)
     for r in s.select(F.explode("prints").alias("p")).groupBy(F.col("p").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).count().collect():  # at most SLOTS rows
         freq[r[0]] = r[1]
@@ -267,10 +344,7 @@ def same_questions(texts: DataFrame, members: DataFrame, plans: DataFrame, hot:
     sa = s.select(F.col("text_id").alias("a"), F.col("question").alias("s"), F.col("prints").alias("pa"))
     sb = s.select(F.col("text_id").alias("b"), F.col("question").alias("t"), F.col("prints").alias("pb"))
     near = F.size(F.array_intersect("pa", "pb")) >= F.lit(SKETCH) * F.greatest(F.size("pa"), F.size("pb"))
-    pairs = cut(met.join(sa, "a").join(sb, "b").where(near).select("a", "b", "s", "t"))
-    differ = cut(pairs.mapInArrow(_compared(template, None), "a long, b long, words array<string>"))
-    neutral = learnt_neutral(texts, members, plans, differ, template)
-    return pairs.join(differ, ["a", "b"]).select("a", "b", "s", "t", "words").mapInArrow(_decided(template, neutral), "a long, b long, coverage double")
+    return met.join(sa, "a").join(sb, "b").where(near).select("a", "b", "s", "t").mapInArrow(_decided(template, neutral), "a long, b long, coverage double")
 
 
 def overlaps(rows: DataFrame) -> DataFrame:
@@ -278,19 +352,15 @@ def overlaps(rows: DataFrame) -> DataFrame:
 
     Rows without a split (null or blank), with a blank question and a blank or broken plan take no part in the respective comparison.
     Coverage is the share of the shorter question that the other one covers; 1 for plans. All pairs come out, copies included; heavy plans
-    are split by the join's skew handling.
+    are split by the join's skew handling. Texts and plans go by 64-bit hashes; their words are read again from the rows where they are
+    needed, so no copy of the questions is kept but of those that may ask the same.
     """
-    split = F.lower(F.trim("split"))
-    every = rows.select(
-        F.col("row_id").cast("long").alias("row_id"), F.coalesce(split.isin(*TRAIN), F.lit(False)).alias("train"), F.coalesce(split.isin(*HELD_OUT), F.lit(False)).alias("held"),
-        "question", plan_key(F.col("gold_plan")).alias("plan"),
-    ).where("row_id is not null")
-    every = cut(every)
-    members, texts = question_texts(every)
-    d = every.where("train or held")
-    m = cut(members.join(d.select("row_id", "train"), "row_id"))
+    every = read_rows(rows)
+    slim = cut(every.select("row_id", "train", "held", "text_id", "plan"))
+    d = slim.where("train or held")
+    m = d.where("text_id is not null")
     a, b = m.where("train").select(F.col("row_id").alias("x"), F.col("text_id").alias("a")), m.where("not train").select(F.col("row_id").alias("y"), F.col("text_id").alias("b"))
-    links = cut(same_questions(texts, members, every.where("plan is not null").select("row_id", "plan")))
+    links = cut(same_questions(every, slim))
     equal = a.join(b, F.col("a") == F.col("b")).select("x", "y", F.lit(1.0).alias("coverage"))
     same = equal.unionByName(links.join(a, "a").join(b, "b").select("x", "y", "coverage"))
     p = d.where("plan is not null").select("row_id", "train", F.col("plan").alias("k"))

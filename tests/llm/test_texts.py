@@ -292,3 +292,32 @@ def test_texts_that_share_enough_share_a_key():
             for j, b in enumerate(texts[:i]):
                 if len(set(a) & set(b)) >= V.SKETCH * max(len(a), len(b)):
                     assert keys[i] & keys[j], (a, b, hot)
+
+
+def test_texts_made_one_request_ask_the_same():
+    import random
+
+    from quillgraph.llm import overlap as V
+
+    rng = random.Random(7)
+    template = frozenset("contracts contract award awarded have were what which suppliers records list code name please total value".split())
+    neutral = frozenset("please actually records that which me thanks data".split())
+
+    def edited(w: str) -> str:
+        i = rng.randrange(len(w))
+        return rng.choice([w[:i] + w[i + 1 :], w[:i] + "e" + w[i:], w[:i] + "a" + w[i + 1 :], w[: i - 1] + w[i : i + 1] + w[i - 1 : i] + w[i + 1 :] if i else w])
+
+    words = sorted(template | neutral) + ["alpha", "betta", "2022", "a1", "of", "in"]
+    words += [edited(w) for w in words if len(w) > 3 for _ in range(6)]
+    ask, one = V.asking(template, neutral), 0
+    for a in words:
+        for b in words:
+            left, right, _ = V.unmatched(["in", a], ["in", b], template)
+            rest = {w for w in left + right if not (w in neutral or (w not in template and w.isalpha() and len(w) > 3 and any(len(n) > 3 and V._one_edit(w, n) for n in neutral)))}
+            if a != b and not rest:
+                one += 1
+                assert ask(["in", a]) == ask([b, "in"]), (a, b)
+    assert one > 100
+    # The same template and year with other names, years or codes ask something else, so they are never compared.
+    said = ["suppliers awarded to {} {} in {}".format(*x) for x in [("alpha", "betta", 2022), ("gamma", "betta", 2022), ("alpha", "gamma", 2022), ("alpha", "betta", 2023)]]
+    assert len({ask(s.split()) for s in said}) == 4
