@@ -83,3 +83,13 @@ def test_chunks(spark):
     assert tidy[mine[1].char_start :].startswith("1. Award criteria") and tidy[mine[1].char_start : mine[1].char_end].strip() == mine[1].text
     ranked = docs.rank_chunks(spark.createDataFrame([("a", "Payment", "pay terms"), ("b", "", "payment terms here"), ("c", "", "none")], "chunk_id string, heading string, text string"), ["payment", "terms"])
     assert [r.chunk_id for r in ranked.collect()] == ["a", "b"]
+
+
+def test_large_blocks_give_all_similar_pairs(spark):
+    rows = [(1, "Alpha Beta Council"), (2, "ALPHA BETA COUNCIL"), (3, "Alpha Beta Counci"), (4, "Alpha Beta Counci"), *((10 + i, f"Alp{chr(97 + i % 26) * 5}{chr(97 + i // 26) * 5} Zq") for i in range(60))]
+    e = spark.createDataFrame(rows, "id long, name string")
+    got = {(r.a, r.b): r.similarity for r in E.similar_pairs(e, "id", "name").collect()}
+    norm = {r.id: r.n for r in e.select("id", S.norm_name(F.col("name")).alias("n")).collect()}
+    want = {(a, b): round(S.jaro_winkler_of(norm[a], norm[b]), 4) for a in norm for b in norm if a < b and norm[a][:3] == norm[b][:3]}
+    assert got == {k: v for k, v in want.items() if v >= 0.92}
+    assert {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)} <= got.keys()
